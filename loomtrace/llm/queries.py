@@ -39,6 +39,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parity import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -51,7 +57,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_language_id, op5_url_filter, op6_token_counts, op7_decontamination, op9_best_fit_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_language_id, op5_url_filter, op6_token_counts, op7_decontamination, op8_jaccard_join, op9_best_fit_packing, op10_exact_topk)}
 
 SQL = {
     "op10_exact_topk": """
