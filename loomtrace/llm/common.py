@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,8 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-#: A word whose tokens are those of its letters, then those of one sign.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters that the tokenizer keeps together as one word.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: str.split() takes these as white space, the tokenizer's pattern does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _MEMOS: dict[str, "WordMemo"] = {}
@@ -74,11 +75,11 @@ class WordMemo:
     so the ids of a text are those of its words in order. Words are encoded by
     the library in bulk; letters-only cores end in a piece marked ``</w>``, which
     tells the words of a bulk apart. Texts with special tokens or with controls
-    that Python alone calls white space go to the library as they are. The memo
-    starts afresh at ``most`` words, so its memory is bounded.
+    that Python alone calls white space go to the library as they are. At
+    ``most`` words the later half goes, so the memo's memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -102,24 +103,21 @@ class WordMemo:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: list[str]) -> None:
+        # the words that came first are the common ones: they stay
         if len(self.words) + len(missing) > self.most:
-            self.words.clear()
-        if len(self.cores) > self.most:
-            self.cores.clear()
-        plain, odd, cores = [], [], {}
+            self.words = dict(islice(self.words.items(), max(0, min(self.most // 2, self.most - len(missing)))))
+        if len(self.cores) + len(missing) > self.most:
+            self.cores = dict(islice(self.cores.items(), max(0, min(self.most // 2, self.most - len(missing)))))
+        cores, plain, odd = self.cores, [], []
         for w in missing:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                core = m[1].lower()
-                plain.append((w, core, m[2]))
-                if core not in self.cores:
-                    cores[core] = None
+            core, sign = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
+            if _PLAIN(core):
+                plain.append((w, core.lower(), sign))
             else:
                 odd.append(w)
         for sign in (".", ","):
-            if sign not in self.cores:
-                self.cores[sign] = self.direct(sign)
-        todo = list(cores)
+            cores[sign] = cores.get(sign) or self.direct(sign)
+        todo = list({core for _, core, _ in plain if core not in cores})
         for at in range(0, len(todo), 500):
             some = todo[at : at + 500]
             ids = np.asarray(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -127,32 +125,45 @@ class WordMemo:
             if len(stops) == len(some):
                 raw, begin = ids.tobytes(), 0
                 for core, stop in zip(some, (stops * 4).tolist()):
-                    self.cores[core] = raw[begin:stop]
+                    cores[core] = raw[begin:stop]
                     begin = stop
             else:
                 for core in some:
-                    self.cores[core] = self.direct(core)
+                    cores[core] = self.direct(core)
         for w, core, sign in plain:
-            self.words[w] = self.cores[core] + (self.cores[sign] if sign else b"")
+            self.words[w] = cores[core] + cores[sign] if sign else cores[core]
         for at in range(0, len(odd), 500):
             some = odd[at : at + 500]
             for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
                 self.words[w] = np.asarray(e.ids, "<u4").tobytes()
 
+    def encode_many(self, texts: list[str], chars: int = 1_000_000):
+        """Ids of each whole text, little-endian unsigned 32-bit; about ``chars`` characters are split at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (size == 0 or size + len(texts[end]) <= chars):
+                size += len(texts[end]) + 1
+                end += 1
+            some = texts[at:end]
+            whole = [not self.mergeable or len(t) > 50 * chars or _ODD_SPACE.search(t) is not None or any(s in t for s in self.special) for t in some]
+            split = [[] if w else t.split() for t, w in zip(some, whole)]
+            distinct = set().union(*split)
+            for _ in range(2):  # the second time for words that made room for others
+                missing = distinct.difference(self.words)
+                if not missing:
+                    break
+                self._learn(list(missing))
+            words = self.words
+            fits = distinct <= words.keys()
+            for t, w, s in zip(some, whole, split):
+                if w:
+                    yield self.direct(t)
+                elif fits:
+                    yield b"".join([words[x] for x in s])
+                else:  # more distinct words than may be held
+                    yield b"".join([words[x] if x in words else self.direct(x) for x in s])
+            at = end
+
     def encode(self, text: str) -> bytes:
-        """Ids of the whole text, little-endian unsigned 32-bit."""
-        if not self.mergeable or _ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self.direct(text)
-        words = text.split()
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            known = self.words
-            self._learn([w for w in dict.fromkeys(words) if w not in known])
-            if len(words) > self.most // 2:
-                return self.direct(text)
-            try:
-                return b"".join([self.words[w] for w in words])
-            except KeyError:  # the memo started afresh
-                self._learn([w for w in dict.fromkeys(words) if w not in self.words])
-                return b"".join([self.words[w] for w in words])
+        return next(self.encode_many([text]))

@@ -110,8 +110,8 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
             )
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = memo.encode(t) + end
+            for i, t in zip(b.column(0).to_pylist(), memo.encode_many(b.column(1).to_pylist())):
+                ids = t + end
                 names.append(i)
                 sizes.append(len(ids) // 4)
                 raw.append(ids)

@@ -71,12 +71,10 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, id
     def count(batches):
         memo = WordMemo.at(path)
         for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                if len(t) > chunk and not any(s in t for s in memo.special):
-                    out.append(spliced_count(memo.tok, t, chunk))
-                else:
-                    out.append(len(memo.encode(t)) // 4)
+            texts_ = b.column(1).to_pylist()
+            huge = [len(t) > chunk and not any(s in t for s in memo.special) for t in texts_]
+            short = memo.encode_many([t for t, h in zip(texts_, huge) if not h])
+            out = [spliced_count(memo.tok, t, chunk) if h else len(next(short)) // 4 for t, h in zip(texts_, huge)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     found = texts(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
