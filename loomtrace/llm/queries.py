@@ -21,6 +21,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_read(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_read(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import url_verdicts
 
@@ -57,7 +63,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_language_id, op5_url_filter, op6_token_counts, op7_decontamination, op8_jaccard_join, op9_best_fit_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_language_id, op4_pii, op5_url_filter, op6_token_counts, op7_decontamination, op8_jaccard_join, op9_best_fit_packing, op10_exact_topk)}
 
 SQL = {
     "op10_exact_topk": """
