@@ -15,6 +15,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import language_id
 
@@ -63,7 +69,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_language_id, op4_pii, op5_url_filter, op6_token_counts, op7_decontamination, op8_jaccard_join, op9_best_fit_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_lm_scoring, op3_language_id, op4_pii, op5_url_filter, op6_token_counts, op7_decontamination, op8_jaccard_join, op9_best_fit_packing, op10_exact_topk)}
 
 SQL = {
     "op10_exact_topk": """
