@@ -107,42 +107,86 @@ def _count(sent):
     return run
 
 
-def _find(sent, least: float):
+class Search:
+    """Finds the items that a text holds; alignments of the same passage are remembered."""
+
+    def __init__(self, seeds: Seeds, rare: list[set[int]], least: float):
+        self.seeds, self.rare, self.least = seeds, rare, least
+        self.known: dict[tuple[int, bytes], tuple] = {}
+
+    def __call__(self, text: bytes) -> list[tuple[int, float, int, int]]:
+        """(item_id, score, first word, last word) of each item held."""
+        h = word_hashes(text)[1]
+        spots: dict[int, set[int]] = {}
+        for g, pos, table in self.seeds.hits(h):
+            for k, at in table[g]:
+                if g in self.rare[k]:
+                    spots.setdefault(k, set()).add(max(0, pos - at) // max(8, len(self.seeds.items[k][1]) // 2))
+        out = []
+        for k, windows in spots.items():
+            item, target = self.seeds.items[k]
+            size, best = len(target), (0, 0, 0)
+            span = max(8, size // 2)
+            for w in sorted(windows):
+                lo = max(0, (w - 1) * span - 4)
+                part = h[lo : (w + 1) * span + size + size // 3 + 4]
+                key = (k, part.tobytes())
+                if key not in self.known:
+                    if len(self.known) > 50_000:
+                        self.known.clear()
+                    self.known[key] = align(target, part)
+                score, first, last = self.known[key]
+                if score > best[0]:
+                    best = (score, lo + first, lo + last)
+            if best[0] >= self.least * 2 * size:
+                out.append((item, best[0] / (2 * size), best[1], best[2]))
+        return out
+
+
+def _find(sent):
     def run(batches):
-        seeds, rare = sent.value
-        known: dict[tuple[int, bytes], tuple] = {}
+        search = Search(*sent.value)
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = word_hashes(text)[1]
-                spots: dict[int, set[int]] = {}
-                for g, pos, table in seeds.hits(h):
-                    for k, at in table[g]:
-                        if g in rare[k]:
-                            size = len(seeds.items[k][1])
-                            spots.setdefault(k, set()).add(max(0, pos - at) // max(8, size // 2))
-                for k, windows in spots.items():
-                    item, target = seeds.items[k]
-                    size, best = len(target), (0, 0, 0)
-                    span = max(8, size // 2)
-                    for w in sorted(windows):
-                        lo = max(0, (w - 1) * span - 4)
-                        part = h[lo : (w + 1) * span + size + size // 3 + 4]
-                        key = (k, part.tobytes())
-                        if key not in known:
-                            if len(known) > 50_000:
-                                known.clear()
-                            known[key] = align(target, part)
-                        score, first, last = known[key]
-                        if score > best[0]:
-                            best = (score, lo + first, lo + last)
-                    if best[0] >= least * 2 * size:
-                        rows.append((doc, item, best[0] / (2 * size), best[1], best[2]))
+            rows = [(doc, *hit) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in search(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
     return run
 
 
+def _searches(rows: DataFrame, benchmark: DataFrame, n: int, least: float, lot: int, item_col: str, item_text: str):
+    """For each lot of items, its broadcast seeds, rare seeds and threshold; ``rows`` are (doc_id, text binary)."""
+    spark = rows.sparkSession
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null")
+    lots = max(1, -(-items.count() // (lot // 2)))
+    for k in range(lots):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == k) if lots > 1 else items
+        seeds = Seeds(sorted({(r.item_id, r.text) for r in own.collect()}, key=str), n)
+        counted = rows.mapInArrow(_count(spark.sparkContext.broadcast(seeds)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+        df = {r.seed & (1 << 64) - 1: r.n for r in counted.collect()}
+        yield spark.sparkContext.broadcast((seeds, [_rare(h, n, df) for _, h in seeds.items], least))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, lot: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; see ``contaminated``."""
+
+    def keep(sent):
+        def run(batches):
+            search = Search(*sent.value)
+            for b in batches:
+                yield b.filter(pa.array([not search((t or "").encode()) for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+        return run
+
+    out = docs
+    for sent in list(_searches(_rows(docs, id_col, text_col), benchmark, n, least, lot, item_col, item_text)):
+        out = out.mapInArrow(keep(sent), docs.schema)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, lot: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of every document that holds an item.
 
@@ -158,18 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     of fewer than ``n`` words are sought as a whole; repeated documents are
     reported each; null ids stay null.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null")
-    lots = max(1, -(-items.count() // (lot // 2)))
-    parts = []
-    for k in range(lots):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == k) if lots > 1 else items
-        seeds = Seeds(sorted({(r.item_id, r.text) for r in own.collect()}, key=str), n)
-        counted = rows.mapInArrow(_count(spark.sparkContext.broadcast(seeds)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        df = {r.seed & (1 << 64) - 1: r.n for r in counted.collect()}
-        rare = [_rare(h, n, df) for _, h in seeds.items]
-        parts.append(rows.mapInArrow(_find(spark.sparkContext.broadcast((seeds, rare)), least), "doc_id long, item_id long, score double, first_word long, last_word long"))
+    rows = _rows(docs, id_col, text_col)
+    parts = [rows.mapInArrow(_find(sent), "doc_id long, item_id long, score double, first_word long, last_word long") for sent in _searches(rows, benchmark, n, least, lot, item_col, item_text)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -157,3 +157,19 @@ def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     model = train(docs.where(fold != held))
     found = predict(docs, model)
     return found.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in some language, with all their columns: those not predicted as ``und``."""
+    langs, table = model
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for text in b.column(text_col).to_pylist():
+                at, n = grams(text) if text and langs else ((), ())
+                keep.append(bool(len(at)) and bool(proportions(at, n, sent.value).any()))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
