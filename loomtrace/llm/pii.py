@@ -95,7 +95,7 @@ def labelled_table(seed: int = 5) -> list[tuple[list[str], list[str]]]:
         return x + last
 
     def email():
-        n, h = f"{word()}.{word()}{d(2)}", word()
+        n, h = rng.choice([f"{word()}.{word()}{d(2)}", f"{word()}.{word()}", word(), f"{word()}{d(3)}"]), word()
         return rng.choice([[f"{n}@{h}.com"], [n, "(at)", h, "(dot)", "com"], [n, "[at]", h, "[dot]", "org"], [f"{n}(at){h}(dot)net"], [f"{n}[at]{h}.com"]])
 
     def phone():
@@ -110,7 +110,7 @@ def labelled_table(seed: int = 5) -> list[tuple[list[str], list[str]]]:
         return rng.choice([[x], [x[:4], x[4:8], x[8:12], x[12:]], ["-".join((x[:4], x[4:8], x[8:12], x[12:]))], [".".join((x[:4], x[4:8], x[8:12], x[12:]))]])
 
     def other():
-        return rng.choice([[d(1)], [d(2)], [d(3)], [d(4)], [f"{d(1)}.{d(1)}"], [f"{d(1)}.{d(2)}.{d(1)}"], [f"{d(4)}-{d(2)}-{d(2)}"], [f"{d(2)}:{d(2)}"], [f"${d(3)}"], [f"{d(2)}%"], [f"#{d(6)}"], [f"{d(12)}"], [d(6)], [d(8)], [word() + d(2)], [f"v{d(1)}.{d(1)}"], [f"({d(4)})"], [f"sk_{d(10)}{word()}"], [f"/{word()}/{d(5)}"], ["version", d(1)], ["CC", "BY", f"{d(1)}.{d(1)}"], [f"@{word()}"], [f"{d(4)}-{d(4)}"], [f"{d(3)},{d(3)}"], ["(at)", word()]])
+        return rng.choice([[d(1)], [d(2)], [d(3)], [d(4)], [f"{d(1)}.{d(1)}"], [f"{d(1)}.{d(2)}.{d(1)}"], [f"{d(4)}-{d(2)}-{d(2)}"], [f"{d(2)}:{d(2)}"], [f"${d(3)}"], [f"{d(2)}%"], [f"#{d(6)}"], [f"{d(12)}"], [d(6)], [d(8)], [word() + d(2)], [f"v{d(1)}.{d(1)}"], [f"({d(4)})"], [f"sk_{d(10)}{word()}"], [f"/{word()}/{d(5)}"], ["version", d(1)], ["CC", "BY", f"{d(1)}.{d(1)}"], [f"@{word()}"], [f"{d(4)}-{d(4)}"], [f"{d(3)},{d(3)}"]])
 
     def cue(kind):
         return rng.choice([[], [], [rng.choice({"email": ["mail", "contact", "write"], "phone": ["phone", "call", "tel"], "ip": ["ip", "host", "from"], "card": ["card", "visa", "number"]}[kind])]])
