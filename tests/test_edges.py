@@ -1,0 +1,124 @@
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from traces import SK, creation, double_phos, match_basic
+
+from loomtrace import cli
+from loomtrace.errors import CompilationError
+from loomtrace.operators.asof import asof
+from loomtrace.operators.component import components
+from loomtrace.plans.engine import TraceEngine
+from loomtrace.plans.language import parse
+from loomtrace.plans.validate import check
+from loomtrace.sources.sinks import native_snapshot, write_csv, write_snapshots
+from loomtrace.sources.trace import STEPS, expand_side_effects, from_rows, skip_init, unique_ids
+from loomtrace.streaming.single import stream_query
+
+
+@pytest.mark.parametrize("relation", ["first", "last"])
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("bucket", [None, 3])
+def test_asof_equals_brute_force(spark, relation, keyed, bucket):
+    rng = random.Random(1)
+    a = [("t", rng.randrange(3), rng.randrange(40)) for _ in range(30)]
+    c = [("t", rng.randrange(3), rng.randrange(40)) for _ in range(15)]
+    keys = ["trace_id", "k"] if keyed else ["trace_id"]
+    left = spark.createDataFrame(a, "trace_id string, k int, at bigint")
+    right = spark.createDataFrame(c, "trace_id string, k int, step bigint").select(*keys, "step")
+    got = sorted((r.k, r["at"], r.near) for r in asof(left, right, keys, "at", "near", relation, bucket).collect())
+    want = []
+    for _, k, at in a:
+        near = [s for _, j, s in c if (not keyed or j == k) and (s > at if relation == "first" else s < at)]
+        if near:
+            want.append((k, at, min(near) if relation == "first" else max(near)))
+    assert got == sorted(want)
+
+
+def test_failed_auxiliary_is_not_replaced(spark):
+    t = from_rows(spark, [("init", "_init_", 0, 0, "new(S.0) mod(S.0.x, u)"), ("rule", "a", 1, 1, "bind(S.0.d, K.9.d)"), ("rule", "b", 2, 2, "free(S.0.d)"), ("rule", "c", 3, 3, "mod(S.0.x, p)"), ("rule", "b", 4, 4, "free(S.0.d)")])
+    e = TraceEngine(t)
+    assert e.run("query 'q' match a:{ 'a' s:S(d[/_]) } and first f:{ s:S(d[/.]) } after a and f:{ s:S(x{p}) } return event_id{f}").count() == 0
+    assert e.run("query 'q' match a:{ 'a' s:S(d[/_]) } and first f:{ s:S(d[/.], x{p}) } after a return event_id{f}").collect()[0][0] == 4
+
+
+def test_semi_link_swap(spark):
+    t = from_rows(spark, [("init", "_init_", 0, 0, "new(A.0) new(B.1) new(C.2) bind(A.0.b, B.1.a)"), ("rule", "swap", 1, 1, "bind(A.0.b, C.2.a) dst:free(A.0.b) dst:free(B.1.a)")])
+    e = TraceEngine(t)
+    got = e.run("query 'q' match e:{ 'swap' a:A(b[/.]) } return size{component[e.]{a}}, size{component[.e]{a}}, print_cc[e.]{a}").collect()
+    assert [tuple(r) for r in got] == [(2, 2, "x0:A(b[1]), x2:C(a[1])")]
+
+
+def test_recycled_ids_and_side_effects(spark):
+    none = [None] * 7
+    act = lambda i, op, uid, site=None, origin="action": (i, op, uid, "S", site, None, None, None, None, origin)
+    rows = [("t", 0, "init", "_init_", 0.0, 0, [act(0, "create", 7), act(1, "create", 8)]), ("t", 1, "rule", "r", 1.0, 1, [act(0, "remove", 7), act(1, "create", 7), act(2, "free", 7, "x"), act(3, "free", 7, "y", "side_src")]), ("t", 2, "rule", "r", 2.0, 2, [act(0, "mod", 7, "x"), act(1, "free", 8, "x")])]
+    got = {r.step_id: [a.uid for a in r.actions] for r in unique_ids(spark.createDataFrame(rows, STEPS)).collect()}
+    assert got == {0: [0, 1], 1: [0, 2, 2, 0], 2: [2, 1]} and len(none) == 7
+    src = spark.createDataFrame(rows, STEPS).withColumn("side_effects_src", F.array(F.struct(F.lit(5).alias("uid"), F.lit("S").alias("kind"), F.lit("z").alias("site")))).withColumn("side_effects_dst", F.expr("cast(array() as array<struct<uid:int,kind:string,site:string>>)"))
+    n = {r.step_id: len(r.actions) for r in expand_side_effects(src).collect()}
+    assert n == {0: 2, 1: 5, 2: 3} and skip_init(src).count() == 2
+
+
+@pytest.mark.parametrize("rounds", [2, 40])
+def test_long_chain(spark, rounds):
+    n = 30
+    rows = [("init", "_init_", 0, 0, " ".join(f"new(A.{i})" for i in range(n)) + " " + " ".join(f"bind(A.{i}.r, A.{i + 1}.l)" for i in range(n - 1))), ("rule", "m", 1, 1, "mod(A.0.x, u)"), ("rule", "cut", 2, 2, "free(A.9.r) free(A.10.l)")]
+    t = from_rows(spark, rows)
+    asks = spark.createDataFrame([("t", 1, 0, "A"), ("t", 2, 0, "A"), ("t", 2, 20, "A")], "trace_id string, step bigint, uid bigint, kind string")
+    size = {(r.step, r.uid): r["count"] for r in components(asks, t.links, "after", rounds).groupBy("step", "uid").count().collect()}
+    assert size == {(1, 0): 30, (2, 0): 10, (2, 20): 20}
+
+
+def test_death_frees_partners(spark):
+    t = from_rows(spark, [("init", "_init_", 0, 0, "new(A.0) new(B.1) bind(A.0.b, B.1.a)"), ("rule", "r", 1, 1, "del(A.0)"), ("rule", "q", 2, 2, "mod(B.1.x, u)")])
+    assert TraceEngine(t).run("query 'q' match e:{ b:B(x{/u}, a[.]) } return size{component[.e]{b}}").collect()[0][0] == 1
+
+
+def test_files(spark, tmp_path):
+    e = TraceEngine(double_phos(spark))
+    good, _ = e.compile("query 'a.csv' match p:{ s:S(x{u/p}) } return {'p': event_id{p}, 's': agent_id{s}} query 'b.csv' match e:{ 'SSp' } return snapshot[.e]")
+    with open(write_csv(e, good["a.csv"], str(tmp_path))) as f:
+        assert f.read() == "'p', 's'\n13, 2\n13, 3\n15, 0\n15, 1\n\n"
+    paths = write_snapshots(e, good["b.csv"], str(tmp_path))
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["snapshot.0.json", "snapshot.1.json"]
+    with open(paths[0]) as f:
+        doc = f.read()
+    assert len(json.loads(doc)["agents"]) == 8 and native_snapshot(doc).startswith("%init: 1 x0:S(")
+
+
+def test_command_line(spark, tmp_path):
+    match_basic(spark).steps.coalesce(1).write.json(str(tmp_path / "t"))
+    q = tmp_path / "q"
+    q.write_text("query 'good.csv' match e:{ 'Sp' } return time[e], rule[e], null query 'bad.csv' match e:{} and f:{} return 1")
+    base = ["-t", str(tmp_path / "t"), "-q", str(q), "--output-dir", str(tmp_path / "o"), "--no-backtraces", "--profile"]
+    assert cli.main(base, spark) == 1
+    assert cli.main([*base, "--only", "good.csv"], spark) == 0
+    assert (tmp_path / "o/results/good.csv").read_text() == '2.9382127269136644, "Sp", null\n\n'
+    assert cli.main([*base, "--skip-invalid"], spark) == 1
+    assert json.loads((tmp_path / "o/errors.json").read_text()) == {"bad.csv": "Disconnected_query_graph"}
+    assert "good.csv" in json.loads((tmp_path / "o/profile.json").read_text()) and (tmp_path / "o/debug/execution-paths.json").exists()
+    assert cli.main([*base, "--only", "nope"], spark) == 1
+
+
+def test_debug_tables(spark):
+    d = TraceEngine(creation(spark)).debug("query 'q' match e:{ +s:S } return 1", 2)
+    assert d["execution-paths"] == "e(->s)" and d["matchings"].count() == 1 and d["measurement-schedule"].count() == 1
+
+
+def test_stream(spark, tmp_path):
+    basic = match_basic(spark).steps
+    basic.coalesce(1).write.json(str(tmp_path / "in"))
+    for text, n in (("e:{ S(d[/.]) } return event_id{e}", 2), ("e:{ 'Kp'|'Sp'|'S.K' } every 0.1 seconds return time[e]", 2), ("e:{} every 1.0 seconds when time[e] > 0 return rule[e]", 2)):
+        steps = spark.readStream.schema(STEPS).json(str(tmp_path / "in"))
+        out = stream_query(steps, check(parse(f"query 'q' match {text}")[0]))
+        s = out.writeStream.format("memory").queryName("got").outputMode("append").trigger(availableNow=True).start()
+        s.awaitTermination(120)
+        assert spark.table("got").count() == n, text
+    with pytest.raises(CompilationError):
+        stream_query(basic, check(parse("query 'q' match e:{ S(x{u/p}) } return 1")[0]))
+
+
+def test_signature(spark):
+    assert double_phos(spark).signature().agents["S"] == {"d": [], "x": ["u", "p"]} and len(SK) == 4
