@@ -39,19 +39,24 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     try:
-        h = np.array([_HASHES[w] for w in words], np.uint64)
+        h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     except KeyError:
         if len(_HASHES) > 400_000:
             _HASHES.clear()
         for w in set(words):
             if w not in _HASHES:
                 _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([_HASHES[w] for w in words], np.uint64)
+        h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     size = min(n, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = _mix((out ^ h[k : len(h) - size + 1 + k]) * _MULTIPLIER + np.uint64(k))
-    return np.unique(out)
+    for k in range(size):  # a sum of hashes, each with an odd factor for its place
+        out *= _MULTIPLIER
+        out += h[k : len(h) - size + 1 + k]
+    out = _mix(out)
+    out.sort()
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 class Scheme:
@@ -128,8 +133,8 @@ class Scheme:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Parity bits, as many as the next power of two over the set's size."""
-    bits = max(64, 1 << int(len(elements)).bit_length())
+    """Parity bits, as many as the next power of two over twice the set's size."""
+    bits = max(64, 2 << int(len(elements)).bit_length())
     at = (_mix(elements) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -163,24 +168,6 @@ def _runs(key: np.ndarray, ids: np.ndarray):
     return key, ids, begin, np.diff(np.append(begin, len(key)))
 
 
-def _keyed(batch, n: int, scheme: Scheme):
-    """(key, id) of a batch of documents; each distinct set once."""
-    keys, ids, seen = [], [], set()
-    for text in batch.column(1).to_pylist():
-        u = shingles(text, n)
-        if not len(u):
-            continue
-        own = _print(u)
-        if own not in seen:
-            seen.add(own)
-            k = scheme.keys(u)
-            keys.append(k)
-            ids.append(np.full(len(k), own[0]))
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(ids)
-
-
 _STAR = ["key", "a", "b", "wide"]
 
 
@@ -205,41 +192,48 @@ def _star_batch(cols):
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(np.asarray(cols[3], bool))], _STAR)
 
 
+_SETS = "what int, doc_id long, n long, hi long, lo long, sketch binary, key long"
+
+
 def _describe(n: int, scheme: Scheme):
-    """Documents with their set's size, print and sketch; and the stars of keys that are wide inside a batch."""
+    """Rows of three kinds: 0, documents with their set's size, print and sketch; 1, (key, hi) of each distinct set; 2, stars (key, hi, lo).
+
+    Of a key that is wide inside a batch only the star's centre is a row of kind
+    1, marked by n = 1; its other sets are in the star. So a hot key sends one row
+    a batch to where keys meet.
+    """
+
+    def rows(what, m, **cols):
+        given = {"what": pa.array(np.full(m, what, np.int32))} | {k: pa.array(v) for k, v in cols.items()}
+        kinds = {"sketch": pa.binary()}
+        names = ["what", "doc_id", "n", "hi", "lo", "sketch", "key"]
+        return pa.RecordBatch.from_arrays([given.get(k, pa.nulls(m, kinds.get(k, pa.int64()))) for k in names], names)
 
     def run(batches):
         for b in batches:
-            docs, size, high, low, bits = b.column(0).to_pylist(), [], [], [], []
+            size, high, low, bits, keys, ids, seen = [], [], [], [], [], [], set()
             for text in b.column(1).to_pylist():
                 u = shingles(text, n)
                 p = _print(u)
                 size.append(len(u)), high.append(p[0]), low.append(p[1]), bits.append(sketch(u))
-            m = len(docs)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bits, pa.binary()), none], ["doc_id", "n", "hi", "lo", "sketch", "key"])
-            key, ids, begin, count = _runs(*_keyed(b, n, scheme))
-            keep = count > NARROW
-            cols = _pairs_of(key, ids, begin[keep], count[keep])
-            m = len(cols[0])
-            if m:
-                none = pa.nulls(m, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(cols[1]), pa.array(cols[2]), pa.nulls(m, pa.binary()), pa.array(cols[0])], ["doc_id", "n", "hi", "lo", "sketch", "key"])
-
-    return run
-
-
-def _members(n: int, scheme: Scheme):
-    """(key, id, wide) to be dealt by key: of a run that is wide inside a batch, only the star's centre."""
-
-    def run(batches):
-        for b in batches:
-            key, ids, begin, count = _runs(*_keyed(b, n, scheme))
+                if len(u) and p not in seen:
+                    seen.add(p)
+                    k = scheme.keys(u)
+                    keys.append(k)
+                    ids.append(np.full(len(k), p[0]))
+            if not size:
+                continue
+            yield rows(0, len(size), doc_id=b.column(0), n=np.array(size, np.int64), hi=np.array(high, np.int64), lo=np.array(low, np.int64), sketch=bits)
+            if not keys:
+                continue
+            key, ids, begin, count = _runs(np.concatenate(keys).view(np.int64), np.concatenate(ids))
             wide = count > NARROW
             keep = np.repeat(~wide, count)
             keep[begin] = True
-            flag = np.repeat(wide, count)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep]), pa.array(flag[keep])], ["key", "id", "wide"])
+            yield rows(1, int(keep.sum()), n=np.repeat(wide, count)[keep].astype(np.int64), hi=ids[keep], key=key[keep])
+            cols = _pairs_of(key, ids, begin[wide], count[wide])
+            if len(cols[0]):
+                yield rows(2, len(cols[0]), hi=cols[1], lo=cols[2], key=cols[0])
 
     return run
 
@@ -312,9 +306,11 @@ def _sets(n: int, sent):
         for b in batches:
             ids = np.asarray(b.column(0))
             at = (_mix(ids.view(np.uint64)) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-            for k in np.flatnonzero(bits[at >> 3] >> (at & 7) & 1).tolist():
-                u = shingles(b.column(1)[k].as_py(), n)
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[k])], pa.int64()), pa.array([u.tobytes()], pa.binary())], ["doc_id", "elements"])
+            chosen = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
+            for lot in range(0, len(chosen), 1000):
+                own = pa.array(chosen[lot : lot + 1000])
+                found = [shingles(t, n).tobytes() for t in b.column(1).take(own).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), pa.array(found, pa.binary())], ["doc_id", "elements"])
 
     return run
 
@@ -361,21 +357,36 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Da
     return stage(with_b.select("a", "b", "ea", "eb").mapInArrow(_linked(num, den), "a long, b long"), "linked")
 
 
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of +1 and -1, folded to the shortest one's length."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size * 8), np.float32)
+    for k, s in enumerate(sketches):
+        x = np.frombuffer(s, np.uint8).reshape(-1, size)
+        out[k] = np.unpackbits(np.bitwise_xor.reduce(x, axis=0))
+    return 1 - 2 * out
+
+
 def _block(scheme: Scheme):
-    """Pairs inside one block pair of a wide key, of different components, whose sketches allow a link."""
+    """Pairs inside one block pair of a wide key, of different components, whose sizes and sketches allow a link."""
 
     def run(t):
-        side, comp, ids = np.asarray(t["side"]), t["comp"].to_pylist(), t["doc"].to_pylist()
-        sizes, bits = t["n"].to_pylist(), t["sketch"].to_pylist()
-        left = np.flatnonzero(side != 2).tolist()
-        right = np.flatnonzero(side != 1).tolist()
+        side, comp, ids, sizes = (np.asarray(t[c]) for c in ("side", "comp", "doc", "n"))
+        key, keys = t["key"][0].as_py(), [set(k) for k in t["keys"].to_pylist()]
+        x = folded(t["sketch"].to_pylist())
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        apart = (x.shape[1] - x[left] @ x[right].T) / 2
+        total = sizes[left][:, None] + sizes[right][None]
+        fits = (scheme.den - scheme.num) * total >= (scheme.den + scheme.num) * apart
+        fits &= scheme.den * np.minimum(sizes[left][:, None], sizes[right][None]) >= scheme.num * np.maximum(sizes[left][:, None], sizes[right][None])
+        fits &= comp[left][:, None] != comp[right][None]
+        if side.max(initial=0) == 0:
+            fits &= ids[left][:, None] < ids[right][None]
         a, b = [], []
-        for i in left:
-            for j in right:
-                if ids[i] < ids[j] and comp[i] != comp[j] or side[i] != side[j] and comp[i] != comp[j]:
-                    lo, hi = sorted((sizes[i], sizes[j]))
-                    if scheme.den * lo >= scheme.num * hi and distance(bits[i], bits[j]) <= scheme.most(lo + hi):
-                        a.append(min(ids[i], ids[j])), b.append(max(ids[i], ids[j]))
+        for i, j in zip(*np.nonzero(fits)):
+            p, q = left[i], right[j]
+            if key == min(keys[p] & keys[q]):
+                a.append(min(ids[p], ids[q])), b.append(max(ids[p], ids[q]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -400,12 +411,13 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     scheme = Scheme(num, den)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     known = rows.where("doc_id is not null")
-    described = stage(known.mapInArrow(_describe(n, scheme), "doc_id long, n long, hi long, lo long, sketch binary, key long"), "sets")
-    all_docs = described.where("key is null")
-    local = described.where("key is not null").select("key", F.col("hi").alias("a"), F.col("lo").alias("b"), F.lit(True).alias("wide"))
+    described = stage(known.mapInArrow(_describe(n, scheme), _SETS), "sets")
+    all_docs = described.where("what = 0").select("doc_id", "n", "hi", "lo", "sketch")
+    local = described.where("what = 2").select("key", F.col("hi").alias("a"), F.col("lo").alias("b"), F.lit(True).alias("wide"))
     reps = stage(all_docs.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
-    dealt = known.mapInArrow(_members(n, scheme), "key long, id long, wide boolean").repartition("key").sortWithinPartitions("key")
+    members = described.where("what = 1").select("key", F.col("hi").alias("id"), (F.col("n") == 1).alias("wide"))
+    dealt = members.repartition("key").sortWithinPartitions("key")
     stars = stage(dealt.mapInArrow(_join_runs, "key long, a long, b long, wide boolean").union(local), "stars")
 
     support = stars.groupBy("a", "b").agg(F.count("*").alias("support"))
@@ -426,13 +438,15 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
         labels = stage(components(links), "labels")
 
     wide = stars.where("wide")
+    wide = wide.select("key", F.col("a").alias("hi")).union(wide.select("key", F.col("b").alias("hi"))).distinct()
     named = reps.join(labels.select(F.col("v").alias("doc"), "label"), "doc", "left").select("hi", "doc", "n", "sketch", F.coalesce("label", "doc").alias("comp"))
     named = stage(named, "named")
-    ends = wide.join(named.select(F.col("hi").alias("a"), F.col("comp").alias("ca")), "a").join(named.select(F.col("hi").alias("b"), F.col("comp").alias("cb")), "b")
-    loose = stage(ends.where("ca <> cb").select("key").distinct(), "loose")
+    placed = stage(wide.join(named.select("hi", "comp"), "hi"), "placed")
+    loose = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("g")).where("x <> y").select("key", "g")
+    loose = stage(loose, "loose")
     if loose.limit(1).count():
-        found = _loose_pairs(wide.join(loose, "key", "left_semi"), named, scheme, block)
-        found = stage(found.join(near.select("a", "b"), ["a", "b"], "left_anti").distinct(), "found")
+        found = stage(_loose_pairs(placed.join(loose, "key"), named, scheme, block), "found")
+        found = stage(found.distinct().join(near.select("a", "b"), ["a", "b"], "left_anti"), "found")
         if found.limit(1).count():
             links = stage(links.union(_verify(known, found, n, num, den)), "links")
             labels = stage(components(links), "labels")
@@ -458,12 +472,16 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _loose_pairs(stars: DataFrame, named: DataFrame, scheme: Scheme, block: int) -> DataFrame:
-    """Possible links between members of wide keys, compared in pairs of blocks of about ``block`` members."""
-    members = stars.select("key", F.col("a").alias("hi")).union(stars.select("key", F.col("b").alias("hi"))).distinct()
-    members = stage(members.join(named, "hi"), "members")
-    count = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = members.join(stage(count, "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int"))
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = other.select("key", "doc", "n", "sketch", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+def _loose_pairs(members: DataFrame, named: DataFrame, scheme: Scheme, block: int) -> DataFrame:
+    """Possible links between members (key, hi, g) of wide keys, compared in pairs of blocks of about ``block`` members.
+
+    Each member carries its loose keys, and a pair is compared under the smallest
+    one that both have, so it comes out once however many keys it shares.
+    """
+    keys = stage(members.groupBy("hi").agg(F.sort_array(F.collect_set("key")).alias("keys")), "keys")
+    blocks = F.ceil(F.col("g") / block).cast("int")
+    own = members.select("key", "hi", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("hi"), F.col("blocks").cast("long")).cast("int"))
+    rows = own.join(named.select("hi", "doc", "n", "sketch", "comp"), "hi").join(keys, "hi")
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = other.select("key", "doc", "n", "sketch", "comp", "keys", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     return placed.groupBy("key", "i", "j").applyInArrow(_block(scheme), "a long, b long")
