@@ -392,7 +392,7 @@ def _block(scheme: Scheme):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 256, staged_keys: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; no link is lost.
 
     1. Sets are described by size, 128-bit print and a small parity sketch; equal
@@ -404,6 +404,9 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
        inside the components that this gives need no verification any more.
     4. Wide keys whose members are not in one component are compared in blocks.
 
+    Keys are written once with the sets, or, without ``staged_keys``, made again
+    where they are dealt, which takes more CPU and less disk.
+
     Null and empty texts have 0 shingles and are linked with nothing. Rows that
     repeat an id and text share its component; null ids take no part and have a
     null component. An empty table gives no rows. Other columns are ignored.
@@ -411,12 +414,13 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     scheme = Scheme(num, den)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     known = rows.where("doc_id is not null")
-    described = stage(known.mapInArrow(_describe(n, scheme), _SETS), "sets")
+    rows_of_sets = known.mapInArrow(_describe(n, scheme), _SETS)
+    described = stage(rows_of_sets if staged_keys else rows_of_sets.where("what <> 1"), "sets")
     all_docs = described.where("what = 0").select("doc_id", "n", "hi", "lo", "sketch")
     local = described.where("what = 2").select("key", F.col("hi").alias("a"), F.col("lo").alias("b"), F.lit(True).alias("wide"))
     reps = stage(all_docs.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
-    members = described.where("what = 1").select("key", F.col("hi").alias("id"), (F.col("n") == 1).alias("wide"))
+    members = (described if staged_keys else rows_of_sets).where("what = 1").select("key", F.col("hi").alias("id"), (F.col("n") == 1).alias("wide"))
     dealt = members.repartition("key").sortWithinPartitions("key")
     stars = stage(dealt.mapInArrow(_join_runs, "key long, a long, b long, wide boolean").union(local), "stars")
 

@@ -67,7 +67,7 @@ def test_other_similarity_and_hot_groups(spark):
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, t) for i, t in corpus(5, 60, 50)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit(7)).withColumn("label", F.lit("z"))
-    got = {tuple(r) for r in near_duplicates(df, 5, 80, 100).collect()}
+    got = {tuple(r) for r in near_duplicates(df, 5, 80, 100, staged_keys=False).collect()}
     assert got == brute(rows, 5, 80, 100)
 
 
