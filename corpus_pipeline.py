@@ -24,7 +24,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Of rows that repeat id and text one stays; null ids take no part and stay.
     """
-    found = near_duplicates(docs, 5, 80, 100)
+    found = near_duplicates(docs, 5, 80, 100, staged_keys=False)
     kept = stage(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
