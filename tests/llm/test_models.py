@@ -70,6 +70,23 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(np.exp(maxent.class_log_probs(w, f, c)), maxent.class_probs(w, f)[np.arange(50), c], atol=1e-5)
 
 
+def test_classes_read_whole_words():
+    """Words that differ only in the middle have different features, and each letter pair and triple is one."""
+    words = [b"unbelievably", b"unbeheavably", b"a", b"", b"x" * 300]
+    found = [[] for _ in words]
+    for own, f in maxent._spellings(words):
+        for w, row in zip(own.tolist(), f.tolist()):
+            found[w] += row
+    assert [len(x) for x in found] == [2 * len(w) + 1 for w in words]
+    assert sorted(found[0]) != sorted(found[1])
+    middles = [bytes([97 + k]) * 6 for k in range(4)]
+    learned = [b"pre" + m + b"ing" for m in middles]
+    classes = maxent.Classes(learned, np.ones(4))
+    assert len(set(classes.of(learned).tolist())) == 4
+    many = [b"w%d" % k for k in range(25_000)] + learned
+    assert classes.of(many)[-4:].tolist() == classes.of(learned).tolist()
+
+
 def plain(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
