@@ -195,12 +195,14 @@ def _star_batch(cols):
 _SETS = "what int, doc_id long, n long, hi long, lo long, sketch binary, key long"
 
 
-def _describe(n: int, scheme: Scheme):
+def _describe(n: int, scheme: Scheme, local: bool = True):
     """Rows of three kinds: 0, documents with their set's size, print and sketch; 1, (key, hi) of each distinct set; 2, stars (key, hi, lo).
 
     Of a key that is wide inside a batch only the star's centre is a row of kind
     1, marked by n = 1; its other sets are in the star. So a hot key sends one row
-    a batch to where keys meet.
+    a batch to where keys meet. Keys and stars of one evaluation belong together;
+    without ``local`` there are no stars and every set's key is a row, so that rows
+    do not depend on where batches end.
     """
 
     def rows(what, m, **cols):
@@ -227,7 +229,7 @@ def _describe(n: int, scheme: Scheme):
             if not keys:
                 continue
             key, ids, begin, count = _runs(np.concatenate(keys).view(np.int64), np.concatenate(ids))
-            wide = count > NARROW
+            wide = (count > NARROW) & local
             keep = np.repeat(~wide, count)
             keep[begin] = True
             yield rows(1, int(keep.sum()), n=np.repeat(wide, count)[keep].astype(np.int64), hi=ids[keep], key=key[keep])
@@ -405,7 +407,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     4. Wide keys whose members are not in one component are compared in blocks.
 
     Keys are written once with the sets, or, without ``staged_keys``, made again
-    where they are dealt, which takes more CPU and less disk.
+    where they are dealt, which takes more CPU and less disk; a hot key then sends
+    a row for each of its sets.
 
     Null and empty texts have 0 shingles and are linked with nothing. Rows that
     repeat an id and text share its component; null ids take no part and have a
@@ -414,7 +417,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     scheme = Scheme(num, den)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     known = rows.where("doc_id is not null")
-    rows_of_sets = known.mapInArrow(_describe(n, scheme), _SETS)
+    rows_of_sets = known.mapInArrow(_describe(n, scheme, staged_keys), _SETS)
     described = stage(rows_of_sets if staged_keys else rows_of_sets.where("what <> 1"), "sets")
     all_docs = described.where("what = 0").select("doc_id", "n", "hi", "lo", "sketch")
     local = described.where("what = 2").select("key", F.col("hi").alias("a"), F.col("lo").alias("b"), F.lit(True).alias("wide"))

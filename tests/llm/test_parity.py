@@ -96,3 +96,31 @@ def test_shingles():
     assert len(shingles(b"", 4)) == 0 and len(shingles(b" \t", 4)) == 0
     assert np.array_equal(shingles(b"A b", 4), shingles(b"a\nB", 4)) and len(shingles(b"a b a b a b", 4)) == 2
     assert not np.array_equal(shingles("É".encode(), 4), shingles("é".encode(), 4))
+
+
+def test_pipeline_does_not_depend_on_batch_borders(spark, monkeypatch):
+    """Jobs after the first staged table see larger batches, as they do when executors change."""
+    import corpus_pipeline
+    from loomtrace.llm import parity
+
+    rows = [(i, " ".join([*(f"x{k}" for k in range(200)), f"y{i}"])) for i in range(60)]
+    whole = brute(rows, 5, 80, 100)
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, plain = spark.conf.get(size), parity.stage
+
+    def small_then_large(df, name):
+        out = plain(df, name)
+        spark.conf.set(size, "10000")
+        return out
+
+    monkeypatch.setattr(parity, "stage", small_then_large)
+    try:
+        for staged in (True, False):
+            spark.conf.set(size, "4")
+            assert {tuple(r) for r in near_duplicates(docs, 5, 80, 100, staged_keys=staged).collect()} == whole
+        spark.conf.set(size, "4")
+        kept = {r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, "").collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert kept == {top for _, _, top in whole}
