@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 from zlib import crc32
 
@@ -60,7 +61,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # --- the conditional random field
 
-LABELS = ("O", *KINDS)
+#: O, and of each kind the first word of an item (B) and its further words (I).
+LABELS = ("O", *(f"{part}-{kind}" for kind in KINDS for part in "BI"))
 _FEATURES = 1 << 12
 _TOKEN = re.compile(r"\S+")
 #: Tokens near which a span can be: a digit, an at sign, or one that is spelled out.
@@ -124,10 +126,13 @@ def labelled_table(seed: int = 5) -> list[tuple[list[str], list[str]]]:
             labels += ["O"] * len(w)
             kind = rng.choice([*KINDS, "O", "O", "O"])
             pre = cue(kind) if kind != "O" else []
-            own = makers[kind]() if kind != "O" else other()
-            own = [*own[:-1], own[-1] + rng.choice(["", "", ".", ","])]
-            words += pre + own
-            labels += ["O"] * len(pre) + [kind] * len(own)
+            words += pre
+            labels += ["O"] * len(pre)
+            for _ in range(rng.choice([1, 1, 2, 3, 5]) if kind != "O" else 1):  # lists of items of one kind
+                own = makers[kind]() if kind != "O" else other()
+                own = [*own[:-1], own[-1] + rng.choice(["", "", ".", ",", ";"] if kind != "O" else ["", "", ".", ","])]
+                words += own
+                labels += [f"{'I' if k else 'B'}-{kind}" for k in range(len(own))] if kind != "O" else ["O"] * len(own)
         words += (w := [word() for _ in range(rng.randint(1, 4))])
         labels += ["O"] * len(w)
         table.append((words, labels))
@@ -268,9 +273,71 @@ def windows(text: str, around: int = 3) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _parts(kind: str, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Plausible spans among the words of one item: all of it, or else parts that cover the most words, of sizes as even as can be.
+
+    A part has at most 64 words: no kind but the email has more than 19 digits.
+    """
+
+    def trimmed(k, j):
+        s = text[words[k][0] : words[j - 1][1]]
+        a = words[k][0] + len(s) - len(s.lstrip(",.;:"))
+        s = s.strip(",.;:")
+        return (a, a + len(s)) if s and _plausible(kind, s) else None
+
+    whole = trimmed(0, len(words)) if words else None
+    if whole or len(words) < 2:
+        return [whole] if whole else []
+    high = _DIGITS[kind][1]
+    digits = [sum(c.isdigit() for c in text[a:b]) for a, b in words]
+    best: list = [(0, 0, None)] * (len(words) + 1)  # words not covered, squares of digits, the part that begins here and where it ends
+    for k in range(len(words) - 1, -1, -1):
+        best[k] = (best[k + 1][0] + 1, best[k + 1][1], None)
+        n = 0
+        for j in range(k + 1, min(len(words), k + 64) + 1):
+            n += digits[j - 1]
+            if n > high:
+                break
+            span = trimmed(k, j)
+            if span:
+                best[k] = min(best[k], (best[j][0], best[j][1] + max(1, n) ** 2, (span, j)), key=lambda x: x[:2])
+    out, k = [], 0
+    while k < len(words):
+        found = best[k][2]
+        if found:
+            out.append(found[0])
+        k = found[1] if found else k + 1
+    return out
+
+
+def _free(words: list[tuple[int, int]], starts: list[int], ends: list[int]) -> list[list[tuple[int, int]]]:
+    """Runs of an item's words that no fixed pattern's span touches; ``starts`` and ``ends`` are of spans that do not overlap."""
+    out: list[list] = [[]]
+    for a, b in words:
+        k = bisect_left(starts, b) - 1
+        if k >= 0 and ends[k] > a:
+            out.append([])
+        else:
+            out[-1].append((a, b))
+    return [w for w in out if w]
+
+
+def _cover(spans: list) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    return starts, ends
+
+
 def added_spans(texts: list[str], crf: Crf, base: list[list]) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds beside the fixed patterns' spans."""
     places = [(i, w) for i, t in enumerate(texts) for w in windows(t)]
+    covers = [_cover(s) for s in base]
     out: list[list] = [[] for _ in texts]
     order = sorted(range(len(places)), key=lambda k: len(places[k][1]))
     for lot in range(0, len(order), 2000):
@@ -278,16 +345,12 @@ def added_spans(texts: list[str], crf: Crf, base: list[list]) -> list[list[tuple
         for (i, w), labels in zip(own, crf.decode([[texts[i][a:b] for a, b in w] for i, w in own])):
             k = 0
             while k < len(w):
-                kind, j = labels[k], k
-                while j < len(w) and labels[j] == kind:
+                kind, j = labels[k][2:], k + 1
+                while j < len(w) and kind and labels[j] == f"I-{kind}":
                     j += 1
-                if kind != "O":
-                    a, b = w[k][0], w[j - 1][1]
-                    s = texts[i][a:b]
-                    a += len(s) - len(s.lstrip(",.;:"))
-                    s = texts[i][a:b].rstrip(",.;:")
-                    if s and _plausible(kind, s) and all(a + len(s) <= x or y <= a for _, x, y in base[i]):
-                        out[i].append((kind, a, a + len(s)))
+                if kind:
+                    for free in _free(w[k:j], *covers[i]):
+                        out[i] += [(kind, *span) for span in _parts(kind, texts[i], free)]
                 k = j
     return [sorted(s, key=lambda x: x[1]) for s in out]
 

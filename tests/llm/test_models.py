@@ -124,3 +124,25 @@ def test_find_and_redact(spark):
     assert "<phone>" in clean[2].text and "<email>" in clean[2].text and clean[2].n_chars == len(clean[2].text)
     assert clean[3].text == rows[2][1] and clean[4].text is None and clean[5].text == ""
     assert pii.find_pii(df.where("false")).count() == 0
+
+
+def added(text):
+    return [(k, text[a:b]) for k, a, b in pii.added_spans([text], pii.model(), [pii.base_spans(text)])[0]]
+
+
+def test_neighbours_of_one_kind_are_separate_spans():
+    assert added("call 415-555-2671, 988-555-2485 today") == [("phone", "415-555-2671"), ("phone", "988-555-2485")]
+    assert added("call +1 (988) 555-2485, 415-555-2671 today") == [("phone", "415-555-2671")]
+    table = [f"{200 + k}-555-{1000 + 7 * k}" for k in range(40)]
+    assert added("tel " + " ".join(table) + " end") == [("phone", p) for p in table]
+    cards = ["4524.1322.6465.2876", "4111.1111.1111.1111", "5500.0000.0000.0004"]
+    assert added("visa " + ", ".join(cards) + " paid") == [("card", c) for c in cards]
+    mails = ["jo (at) site (dot) com", "bo [at] place [dot] org"]
+    assert added("write " + ", ".join(mails) + " now") == [("email", m) for m in mails]
+
+
+def test_an_item_that_is_not_plausible_is_split():
+    text = "(415) 555-2671, (988) 555-2485 415-555-2671"
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    assert [text[a:b] for a, b in pii._parts("phone", text, words)] == ["(415) 555-2671", "(988) 555-2485", "415-555-2671"]
+    assert pii._parts("phone", "1 x", [(0, 1), (2, 3)]) == [] and pii._parts("phone", "", []) == []
