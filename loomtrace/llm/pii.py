@@ -64,6 +64,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: O, and of each kind the first word of an item (B) and its further words (I).
 LABELS = ("O", *(f"{part}-{kind}" for kind in KINDS for part in "BI"))
 _FEATURES = 1 << 12
+_PART = 512  # words of a window whose features are held at once
+_LOT = 100_000  # places decoded at once, or one window
 _TOKEN = re.compile(r"\S+")
 #: Tokens near which a span can be: a digit, an at sign, or one that is spelled out.
 _TRIGGER = re.compile(r"[0-9@]|[(\[]\s*(?:at|dot|AT|DOT)\s*[)\]]")
@@ -213,20 +215,26 @@ class Crf:
         """The likeliest labels of each sequence, by Viterbi over all sequences at once."""
         if not sequences:
             return []
-        x, mask = self._pad(sequences)
-        e = self.scores(x, mask)
-        best, back = e[:, 0], np.zeros(e.shape, np.int64)
-        for j in range(1, e.shape[1]):
-            step = best[:, :, None] + self.t
-            back[:, j] = step.argmax(axis=1)
-            best = np.where(mask[:, j, None], step.max(axis=1) + e[:, j], best)
-            back[:, j] = np.where(mask[:, j, None], back[:, j], np.arange(len(LABELS)))
-        at = best.argmax(axis=1)
-        path = np.zeros(mask.shape, np.int64)
-        for j in range(e.shape[1] - 1, -1, -1):
-            path[:, j] = at
-            at = back[np.arange(len(at)), j, at]
-        return [[LABELS[k] for k in path[i, : len(s)]] for i, s in enumerate(sequences)]
+        top = max(map(len, sequences))
+        best, back = None, np.zeros((len(sequences), top, len(LABELS)), np.int8)
+        for at in range(0, top, _PART):  # features of a part at a time, with a word on either side; the scores are carried on
+            lo, end = max(0, at - 1), min(top, at + _PART)
+            x, mask = self._pad([s[lo : end + 1] for s in sequences])
+            e = self.scores(x, mask)
+            for j in range(at, end):
+                if best is None:
+                    best = e[:, 0]
+                    continue
+                step = best[:, :, None] + self.t
+                more = mask[:, j - lo, None]
+                back[:, j] = np.where(more, step.argmax(axis=1), np.arange(len(LABELS)))
+                best = np.where(more, step.max(axis=1) + e[:, j - lo], best)
+        label = best.argmax(axis=1)
+        path = np.zeros((len(sequences), top), np.int64)
+        for j in range(top - 1, -1, -1):
+            path[:, j] = label
+            label = back[np.arange(len(label)), j, label]
+        return [[LABELS[k] for k in path[i, : len(s)].tolist()] for i, s in enumerate(sequences)]
 
 
 @cache
@@ -268,8 +276,7 @@ def windows(text: str, around: int = 3) -> list[list[tuple[int, int]]]:
     out, k = [], 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
     for a, b in edges.reshape(-1, 2).tolist():
-        for at in range(a, b, 400):  # a long table of numbers is decoded in parts of 400 words
-            out.append(tokens[at : min(b, at + 400)])
+        out.append(tokens[a:b])
     return out
 
 
@@ -340,8 +347,13 @@ def added_spans(texts: list[str], crf: Crf, base: list[list]) -> list[list[tuple
     covers = [_cover(s) for s in base]
     out: list[list] = [[] for _ in texts]
     order = sorted(range(len(places)), key=lambda k: len(places[k][1]))
-    for lot in range(0, len(order), 2000):
-        own = [places[k] for k in order[lot : lot + 2000]]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < min(len(order), at + 2000) and (end + 1 - at) * len(places[order[end]][1]) <= _LOT:
+            end += 1
+        own = [places[k] for k in order[at:end]]
+        at = end
         for (i, w), labels in zip(own, crf.decode([[texts[i][a:b] for a, b in w] for i, w in own])):
             k = 0
             while k < len(w):

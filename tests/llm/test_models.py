@@ -146,3 +146,16 @@ def test_an_item_that_is_not_plausible_is_split():
     words = [m.span() for m in re.finditer(r"\S+", text)]
     assert [text[a:b] for a, b in pii._parts("phone", text, words)] == ["(415) 555-2671", "(988) 555-2485", "415-555-2671"]
     assert pii._parts("phone", "1 x", [(0, 1), (2, 3)]) == [] and pii._parts("phone", "", []) == []
+
+
+def test_long_windows_are_decoded_whole(monkeypatch):
+    for before in (397, 398, 399, 400, 509, 510, 511, 512, 1023):
+        text = " ".join(["12"] * before + ["(415)", "555-2671"] + ["12"] * 300)
+        assert len(pii.windows(text)) == 1
+        assert ("phone", "(415) 555-2671") in added(text)
+    rows = [w for w, _ in pii.labelled_table(78)[:100]]
+    rows = [*rows, [w for r in rows for w in r], ["12"]]
+    whole = pii.model().decode(rows)
+    for part in (1, 2, 7, 100_000):
+        monkeypatch.setattr(pii, "_PART", part)
+        assert pii.model().decode(rows) == whole
