@@ -3,7 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from traces import SK, creation, double_phos, match_basic
+from traces import SIG, WORKSHOP, convoy, workshop
 
 from loomtrace import cli
 from loomtrace.errors import CompilationError
@@ -77,25 +77,25 @@ def test_death_frees_partners(spark):
 
 
 def test_files(spark, tmp_path):
-    e = TraceEngine(double_phos(spark))
-    good, _ = e.compile("query 'a.csv' match p:{ s:S(x{u/p}) } return {'p': event_id{p}, 's': agent_id{s}} query 'b.csv' match e:{ 'SSp' } return snapshot[.e]")
+    e = TraceEngine(workshop(spark))
+    good, _ = e.compile("query 'a.csv' match p:{ 'use' t:Tool(wear{new/worn}) } return {'p': event_id{p}, 't': agent_id{t}} query 'b.csv' match e:{ 'start' r:Robot(mode{idle/busy}) } return snapshot[.e]")
     with open(write_csv(e, good["a.csv"], str(tmp_path))) as f:
-        assert f.read() == "'p', 's'\n13, 2\n13, 3\n15, 0\n15, 1\n\n"
+        assert f.read() == "'p', 't'\n8, 2\n8, 3\n\n"
     paths = write_snapshots(e, good["b.csv"], str(tmp_path))
-    assert [p.rsplit("/", 1)[1] for p in paths] == ["snapshot.0.json", "snapshot.1.json"]
+    assert [p.rsplit("/", 1)[1] for p in paths] == [f"snapshot.{k}.json" for k in range(3)]
     with open(paths[0]) as f:
         doc = f.read()
-    assert len(json.loads(doc)["agents"]) == 8 and native_snapshot(doc).startswith("%init: 1 x0:S(")
+    assert len(json.loads(doc)["agents"]) == 5 and native_snapshot(doc).startswith("%init: 1 x0:Robot(")
 
 
 def test_command_line(spark, tmp_path):
-    match_basic(spark).steps.coalesce(1).write.json(str(tmp_path / "t"))
+    workshop(spark).steps.coalesce(1).write.json(str(tmp_path / "t"))
     q = tmp_path / "q"
-    q.write_text("query 'good.csv' match e:{ 'Sp' } return time[e], rule[e], null query 'bad.csv' match e:{} and f:{} return 1")
+    q.write_text("query 'good.csv' match e:{ 'couple' } return time[e], rule[e], null query 'bad.csv' match e:{} and f:{} return 1")
     base = ["-t", str(tmp_path / "t"), "-q", str(q), "--output-dir", str(tmp_path / "o"), "--no-backtraces", "--profile"]
     assert cli.main(base, spark) == 1
     assert cli.main([*base, "--only", "good.csv"], spark) == 0
-    assert (tmp_path / "o/results/good.csv").read_text() == '2.9382127269136644, "Sp", null\n\n'
+    assert (tmp_path / "o/results/good.csv").read_text() == '4.25, "couple", null\n\n'
     assert cli.main([*base, "--skip-invalid"], spark) == 1
     assert json.loads((tmp_path / "o/errors.json").read_text()) == {"bad.csv": "Disconnected_query_graph"}
     assert "good.csv" in json.loads((tmp_path / "o/profile.json").read_text()) and (tmp_path / "o/debug/execution-paths.json").exists()
@@ -103,22 +103,22 @@ def test_command_line(spark, tmp_path):
 
 
 def test_debug_tables(spark):
-    d = TraceEngine(creation(spark)).debug("query 'q' match e:{ +s:S } return 1", 2)
-    assert d["execution-paths"] == "e(->s)" and d["matchings"].count() == 1 and d["measurement-schedule"].count() == 1
+    d = TraceEngine(convoy(spark)).debug("query 'q' match e:{ 'cut' r:Robot(dock[/.]) } return 1", 2)
+    assert d["execution-paths"] == "e(->r)" and d["matchings"].count() == 1 and d["measurement-schedule"].count() == 1
 
 
 def test_stream(spark, tmp_path):
-    basic = match_basic(spark).steps
-    basic.coalesce(1).write.json(str(tmp_path / "in"))
-    for text, n in (("e:{ S(d[/.]) } return event_id{e}", 2), ("e:{ 'Kp'|'Sp'|'S.K' } every 0.1 seconds return time[e]", 2), ("e:{} every 1.0 seconds when time[e] > 0 return rule[e]", 2)):
+    steps_in = workshop(spark).steps
+    steps_in.coalesce(1).write.json(str(tmp_path / "in"))
+    for text, n in (("e:{ Tool(grip[/.]) } return event_id{e}", 4), ("e:{ 'pick'|'start'|'fetch' } every 1 seconds return time[e]", 3), ("e:{} every 2 seconds when time[e] > 0 return rule[e]", 3)):
         steps = spark.readStream.schema(STEPS).json(str(tmp_path / "in"))
         out = stream_query(steps, check(parse(f"query 'q' match {text}")[0]))
         s = out.writeStream.format("memory").queryName("got").outputMode("append").trigger(availableNow=True).start()
         s.awaitTermination(120)
         assert spark.table("got").count() == n, text
     with pytest.raises(CompilationError):
-        stream_query(basic, check(parse("query 'q' match e:{ S(x{u/p}) } return 1")[0]))
+        stream_query(steps_in, check(parse("query 'q' match e:{ Robot(mode{idle/busy}) } return 1")[0]))
 
 
 def test_signature(spark):
-    assert double_phos(spark).signature().agents["S"] == {"d": [], "x": ["u", "p"]} and len(SK) == 4
+    assert workshop(spark).signature().agents["Tool"] == {"grip": [], "wear": ["new", "worn"]} and len(SIG) == 6 and len(WORKSHOP) == 17
