@@ -47,6 +47,31 @@ def places_trace(spark: SparkSession, sf_dir: str) -> Trace:
     return Trace(reduce(DataFrame.unionByName, parts))
 
 
+_LATER = 1 << 40
+
+
+def orders_trace(spark: SparkSession, sf_dir: str) -> Trace:
+    """Customers, whose slot holds their last order: placing an order frees the one before; an order with status F is shipped, and gone, at once."""
+    customer, orders = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    c, k = F.col("o_custkey").cast("bigint"), F.col("o_orderkey").cast("bigint")
+    held = F.when(F.lag("o_orderstatus").over(w) != "F", F.lag("o_orderkey").over(w)).cast("bigint")
+    o = orders.select(c.alias("c"), (k + _LATER).alias("o"), (2 * k + _LATER).alias("at"), F.col("o_orderstatus").alias("status"), (held + _LATER).alias("held"))
+    kinds = F.lit("Customer"), F.lit("Order")
+    slot, cust = F.lit("slot"), F.lit("cust")
+
+    def steps(df, at, kind, rule, actions):
+        return df.select(F.lit("orders").alias("trace_id"), at.alias("step_id"), F.lit(kind).alias("step_kind"), F.lit(rule).alias("rule"), (at % _LATER).cast("double").alias("time"), at.alias("sim_event_id"), actions.cast(f"array<{ACTION}>").alias("actions"))
+
+    ck = F.col("c_custkey").cast("bigint")
+    new = F.array(action("create", ck, kinds[0]), action("mod", ck, kinds[0], F.lit("seg"), F.col("c_mktsegment")), action("free", ck, kinds[0], slot))
+    cleared = F.when(F.col("held").isNotNull(), F.array(action("free", F.col("c"), kinds[0], slot), action("free", F.col("held"), kinds[1], cust))).otherwise(F.array().cast(f"array<{ACTION}>"))
+    placed = F.concat(cleared, F.array(action("create", F.col("o"), kinds[1]), action("mod", F.col("o"), kinds[1], F.lit("status"), F.col("status")), action("bind", F.col("o"), kinds[1], cust, None, F.col("c"), kinds[0], slot)))
+    shipped = F.array(action("remove", F.col("o"), kinds[1]), action("free", F.col("o"), kinds[1], cust, origin="side_src"), action("free", F.col("c"), kinds[0], slot, origin="side_dst"))
+    parts = [steps(customer, ck, "init", "_init_", new), steps(o, F.col("at"), "rule", "place", placed), steps(o.where("status = 'F'"), F.col("at") + 1, "rule", "ship", shipped)]
+    return Trace(reduce(DataFrame.unionByName, parts))
+
+
 #: name -> (trace, query text)
 TEXTS: dict[str, tuple[str, str]] = {
     "scan_single_event": ("events", "match e:{ u:User(did{/purchase}) } return {'step': event_id{e}, 'user': agent_id{u}, 'at': time[e]}"),
@@ -72,9 +97,23 @@ TEXTS: dict[str, tuple[str, str]] = {
     "component_similarity": ("places", "match e:{ n:Nation(open{/done}) } and last f:{ m:Nation(open{/done}) } before e return {'nation': agent_id{n}, 'other': agent_id{m}, 'alike': similarity{component[.e]{n}}{component[.f]{m}}}"),
     "bond_created": ("places", "match e:{ +c:Customer(n[_]) } return {'step': event_id{e}, 'customer': agent_id{c}}"),
     "bond_to_type": ("places", "match e:{ n:Nation(r[/n3.Region]) } return {'step': event_id{e}, 'nation': agent_id{n}}"),
+    "destroyed_tested": ("orders", "match e:{ -o:Order(status{F}, cust[_]) } return {'step': event_id{e}, 'order': agent_id{o}}"),
+    "free_tested": ("orders", "match e:{ c:Customer(slot[./1]), +o:Order(cust[1]) } return {'step': event_id{e}, 'customer': agent_id{c}, 'order': agent_id{o}}"),
+    "bond_type_tested": ("orders", "match e:{ c:Customer(slot[cust.Order/.]) } return {'step': event_id{e}, 'customer': agent_id{c}, 'rule': rule[e]}"),
+    "bond_pair_tested": ("orders", "match e:{ -o:Order(cust[1]), c:Customer(slot[1], seg{BUILDING}) } return {'step': event_id{e}, 'order': agent_id{o}, 'customer': agent_id{c}}"),
+    "site_freed": ("orders", "match e:{ 'place' c:Customer(slot[/.]) } return {'step': event_id{e}, 'customer': agent_id{c}}"),
+    "site_freed_at_start": ("orders", "match e:{ '_init_' c:Customer(slot[/.]) } return {'step': event_id{e}, 'customer': agent_id{c}}"),
+    "bond_pair_made": ("orders", "match e:{ +o:Order(cust[1]), c:Customer(slot[/1]) } return {'step': event_id{e}, 'order': agent_id{o}, 'customer': agent_id{c}}"),
+    "bond_replaced": ("orders", "match e:{ c:Customer(slot[_/1]), +o:Order(cust[1]) } return {'step': event_id{e}, 'customer': agent_id{c}, 'order': agent_id{o}}"),
+    "bond_to_site_of_kind": ("orders", "match e:{ o:Order(cust[/slot.Customer]) } return {'step': event_id{e}, 'order': agent_id{o}}"),
+    "init_rule": ("orders", "match e:{ '_init_' +c:Customer(seg{BUILDING}) } return {'step': event_id{e}, 'customer': agent_id{c}}"),
+    "late_agent": ("orders", "match a:{ 'place' +o:Order(cust[1]), c:Customer(slot[/1]) } and last b:{ -p:Order } before a and b:{ p:Order(cust[1]), c:Customer(slot[1]) } return {'a': event_id{a}, 'b': event_id{b}, 'customer': agent_id{c}}"),
+    "last_order_before": ("orders", "match a:{ -o:Order(cust[1]), c:Customer(slot[1]) } and last b:{ c:Customer(slot[/.]) } before a return {'a': event_id{a}, 'b': event_id{b}, 'customer': agent_id{c}}"),
+    "order_component": ("orders", "match e:{ -o:Order } return {'order': agent_id{o}, 'size': size{component[.e]{o}}, 'customers': count{'Customer'}{component[.e]{o}}}"),
+    "printed_component": ("orders", "match e:{ -o:Order } return {'step': event_id{e}, 'text': print_cc[.e]{o}}"),
     "bond_tested": ("places", "match e:{ n:Nation(open{/done}, r[_]) } and last b:{ +n:Nation(r[_]) } before e return {'nation': agent_id{n}, 'born': event_id{b}}"),
 }
-_TRACES = {"events": events_trace, "places": places_trace}
+_TRACES = {"events": events_trace, "places": places_trace, "orders": orders_trace}
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -124,11 +163,47 @@ def parity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.run(f"query 'p' {TEXTS['null_safe_eq'][1]}", typed=False).select(F.col("value").alias("line"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in TEXTS} | {f.__name__: f for f in (event_cache, snapshot_at, recycled_ids, trace_summary, parity_csv)}
+def parity_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each type as result files print them."""
+    engine = TraceEngine(events_trace(spark, sf_dir))
+    return engine.run("query 'p' match e:{ u:User(did{/error}) } return event_id{e}, 0.5 * agent_id{u} + 0.25, rule[e], null, component[e]{u}, int_state[.e]{u.did}, agent_id{u} > 3", typed=False).select(F.col("value").alias("line"))
+
+
+def nan_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that are not a number equal themselves."""
+    steps = from_events(_read(spark, sf_dir, "events")).withColumn("time", F.when(F.col("step_id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("time")))
+    return TraceEngine(Trace(steps)).run("query 'n' match e:{ u:User(did{/error}) } return {'step': event_id{e}, 'self': time[e] = time[e], 'sum': (time[e] + 1) = time[e]}")
+
+
+def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the snapshots just before each creation of a user."""
+    engine = TraceEngine(events_trace(spark, sf_dir))
+    return engine.snapshots_of("query 's' match e:{ +u:User } return snapshot[.e]").select("step", "document")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in TEXTS} | {f.__name__: f for f in (event_cache, snapshot_at, recycled_ids, trace_summary, parity_csv, parity_values, nan_equal, snapshot_documents)}
 first_after = QUERIES["first_after"]
 
 _EV = "e AS (SELECT event_id AS s, user_id AS u, event_type AS k, epoch_us(ts) / 1e6 AS t, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events)"
+_OR = "o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, lag(o_orderkey) OVER w AS pk, lag(o_orderstatus) OVER w AS ps FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), p AS (SELECT c, st, CASE WHEN ps <> 'F' THEN pk END AS b, 1099511627776 + 2 * k AS s, 1099511627776 + k AS o FROM o)"
 SQL: dict[str, str] = {
+    "destroyed_tested": f"WITH {_OR} SELECT s + 1 AS step, o AS \"order\" FROM p WHERE st = 'F'",
+    "free_tested": f"WITH {_OR} SELECT s AS step, c AS customer, o AS \"order\" FROM p WHERE b IS NULL",
+    "bond_type_tested": f"WITH {_OR} SELECT s + 1 AS step, c AS customer, 'ship' AS rule FROM p WHERE st = 'F' UNION ALL SELECT s, c, 'place' FROM p WHERE b IS NOT NULL",
+    "bond_pair_tested": f"WITH {_OR} SELECT s + 1 AS step, o AS \"order\", c AS customer FROM p JOIN customer ON c = c_custkey WHERE st = 'F' AND c_mktsegment = 'BUILDING'",
+    "site_freed": f"WITH {_OR} SELECT s AS step, c AS customer FROM p WHERE b IS NOT NULL",
+    "site_freed_at_start": "SELECT c_custkey AS step, c_custkey AS customer FROM customer",
+    "bond_pair_made": f"WITH {_OR} SELECT s AS step, o AS \"order\", c AS customer FROM p",
+    "bond_replaced": f"WITH {_OR} SELECT s AS step, c AS customer, o AS \"order\" FROM p WHERE b IS NOT NULL",
+    "bond_to_site_of_kind": f"WITH {_OR} SELECT s AS step, o AS \"order\" FROM p",
+    "init_rule": "SELECT c_custkey AS step, c_custkey AS customer FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "late_agent": f"WITH {_OR} SELECT a.s AS a, b.s AS b, a.c AS customer FROM p a ASOF JOIN (SELECT s + 1 AS s, c FROM p WHERE st = 'F') b ON a.s > b.s WHERE a.c = b.c",
+    "last_order_before": f"WITH {_OR}, f AS (SELECT s + 1 AS s, c FROM p WHERE st = 'F' UNION ALL SELECT s, c FROM p WHERE b IS NOT NULL UNION ALL SELECT c_custkey, c_custkey FROM customer) SELECT a.s AS a, b.s AS b, a.c AS customer FROM (SELECT s + 1 AS s, c FROM p WHERE st = 'F') a ASOF JOIN f b ON a.c = b.c AND a.s > b.s",
+    "order_component": f"WITH {_OR} SELECT o AS \"order\", CAST(2 AS BIGINT) AS size, CAST(1 AS BIGINT) AS customers FROM p WHERE st = 'F'",
+    "printed_component": f"WITH {_OR} SELECT s + 1 AS step, 'x' || o || ':Order(cust[1] status{{F}}[.]), x' || c || ':Customer(seg{{' || c_mktsegment || '}}[.] slot[1])' AS text FROM p JOIN customer ON c = c_custkey WHERE st = 'F'",
+    "parity_values": f"WITH {_EV} SELECT s || ', ' || CAST(CAST(0.5 AS DOUBLE) * u + 0.25 AS VARCHAR) || ', \"error\", null, <agents>, ' || CASE WHEN was IS NULL THEN 'null' ELSE '\"' || was || '\"' END || ', ' || CASE WHEN u > 3 THEN '1' ELSE '0' END AS line FROM e WHERE k = 'error'",
+    "nan_equal": f"WITH {_EV} SELECT s AS step, true AS self, s % 2 = 0 AS sum FROM e WHERE k = 'error'",
+    "snapshot_documents": f"WITH {_EV}, f AS (SELECT s FROM e WHERE was IS NULL), x AS (SELECT f.s AS step, e.u AS uid, max(e.s) AS at FROM f JOIN e ON e.s < f.s GROUP BY ALL), d AS (SELECT step, string_agg('{{\"id\":' || uid || ',\"kind\":\"User\",\"states\":{{\"did\":\"' || e.k || '\"}},\"bonds\":[]}}', ',' ORDER BY uid) AS a FROM x JOIN e ON x.at = e.s GROUP BY step) SELECT f.s AS step, '{{\"agents\":[' || coalesce(a, '') || ']}}' AS document FROM f LEFT JOIN d ON f.s = d.step",
     "scan_single_event": f"WITH {_EV} SELECT s AS step, u AS \"user\", t AS \"at\" FROM e WHERE k = 'purchase'",
     "any_event": "SELECT event_id AS step, event_type AS rule, event_id AS sim FROM events",
     "rule_disjunction": f"WITH {_EV} SELECT s AS step, k AS rule, u AS \"user\" FROM e WHERE k = 'view'",
