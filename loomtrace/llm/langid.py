@@ -41,12 +41,12 @@ def remainder(id_col: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def train(docs: DataFrame, most_languages: int = 512, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram probabilities from all rows of (text, lang).
 
     Each task sends one count for each language and bucket it has seen; sums are
-    pre-aggregated. What comes to the driver is bounded by ``most_languages`` times
-    the buckets; beyond that number, the languages with most trigrams are learned.
+    pre-aggregated. Every language is learned: what comes to the driver, and is
+    broadcast, is 64 KB for each value of ``lang``, whatever the rows.
     """
 
     def count(batches):
@@ -68,14 +68,14 @@ def train(docs: DataFrame, most_languages: int = 512, smooth: float = 0.5) -> tu
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at].astype(np.int64))], ["lang", "bucket", "n"])
 
     rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
-    packed = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("total"), F.map_from_arrays(F.collect_list("bucket"), F.collect_list("n")).alias("c"))
-    found = packed.orderBy(F.col("total").desc(), "lang").limit(most_languages).collect()
-    langs = sorted(r.lang for r in found)
-    table = np.zeros((BUCKETS, len(langs)))
-    for r in found:
-        for bucket, n in r.c.items():
-            table[bucket, langs.index(r.lang)] = n
-    return langs, (table + smooth) / (table.sum(axis=0) + smooth * BUCKETS)
+    found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+    table = np.zeros((BUCKETS, len(langs)), np.float32)
+    if len(langs):
+        table[np.asarray(found.column("bucket")), place[np.asarray(names.indices)]] = np.asarray(found.column("n"))
+    return langs, ((table + smooth) / (table.sum(axis=0, dtype=np.float64) + smooth * BUCKETS)).astype(np.float32)
 
 
 def _em(p: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -94,17 +94,19 @@ def _em(p: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
 def proportions(at: np.ndarray, n: np.ndarray, table: np.ndarray, rounds: int = 25, price: float = 5.0) -> np.ndarray:
     """Each language's share of a document.
 
-    EM over all languages; then the weakest language is dropped again and again
-    while the log likelihood, less ``price`` * log(n) for each language, does not
-    fall. The price is high because overlapping trigrams are not independent.
+    EM over all languages; those that are left with less than one trigram go, then
+    the weakest one is dropped again and again while the log likelihood, less
+    ``price`` * log(n) for each language, does not fall. The price is high because
+    overlapping trigrams are not independent.
     """
-    p = table[at]
+    p = table[at].astype(np.float64)
     kept = np.arange(p.shape[1])
-    if len(kept) > 8:  # only languages that explain some trigram better than all others on average can be in the set
-        single = n @ np.log(p)
-        kept = np.union1d(np.argsort(-single, kind="stable")[:8], np.unique(p.argmax(axis=1)))
     penalty = price * np.log(n.sum() + 1)
-    w, like = _em(p[:, kept], n, rounds)
+    w, like = _em(p, n, rounds)
+    some = w * n.sum() >= 1
+    if 0 < some.sum() < len(kept):
+        kept = kept[some]
+        w, like = _em(p[:, kept], n, rounds)
     while len(kept) > 1:
         rest = np.delete(np.arange(len(kept)), w.argmin())
         if len(rest) == 1:
@@ -159,17 +161,23 @@ def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score", "mixture")
 
 
-def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in some language, with all their columns: those not predicted as ``und``."""
+def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", most_noise: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` in the learned languages, with all their columns.
+
+    Beside the languages the mixture holds noise, in which all trigrams are as
+    likely. A text goes if it is null, has no letter, or more than ``most_noise`` of
+    its trigrams are noise; all go if no language was learned.
+    """
     langs, table = model
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    noisy = np.concatenate([table, np.full((BUCKETS, 1), 1 / BUCKETS, table.dtype)], axis=1)
+    sent = docs.sparkSession.sparkContext.broadcast(noisy)
 
     def run(batches):
         for b in batches:
             keep = []
             for text in b.column(text_col).to_pylist():
                 at, n = grams(text) if text and langs else ((), ())
-                keep.append(bool(len(at)) and bool(proportions(at, n, sent.value).any()))
+                keep.append(bool(len(at)) and float(proportions(at, n, sent.value)[-1]) <= most_noise)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
