@@ -115,3 +115,27 @@ def test_pack(spark, docs, tok):
         assert at <= 64
     assert len(by) <= -(-sum(w[3] for w in want) // 64) + 2
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pack_in_rounds_keeps_what_later_rounds_can_use(spark):
+    """Small lots, few spare bins and many rounds: within a tenth of one best fit over all."""
+    rng = np.random.default_rng(7)
+    words = [int(x) for x in rng.integers(0, 60, 400)]
+    df = spark.createDataFrame([(i, " ".join(["the"] * n)) for i, n in enumerate(words)], SCHEMA).repartition(6)
+    rows = pack(df, 64, most=40, spare=12, fan_in=2).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.length for r in rows) == sorted(n + 1 for n in words)
+    assert all(sum(n for _, n in s) <= 64 and sorted(s)[0][0] == 0 for s in by.values())
+    assert len(by) <= 1.1 * len(best_fit(np.array(words) + 1, 64))
+
+
+def test_bins_that_cannot_merge_do_not_travel(spark):
+    from loomtrace.llm.packing import _Packer
+
+    tags = iter(range(10_000))
+    packer = _Packer(2048, 2038, 100, 5, lambda: next(tags))
+    out = [b for k in range(1000) for b in packer.add([1030], [b"x"])] + list(packer.end())
+    final = sum(sum(b.column("done").to_pylist()) for b in out)
+    assert sum(b.num_rows for b in out) == 1000 and final == 995
