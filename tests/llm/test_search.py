@@ -21,21 +21,32 @@ def brute(rows, every, k):
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (310, [1.0, 2.0]), (320, [0.5, 0.5]), (330, []), (None, [0.0] * 6), (40, rows[40][1])]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (310, [1.0, 2.0]), (320, [0.5, 0.5]), (330, []), (331, []), (None, [0.0] * 6), (40, rows[40][1])]
     df = spark.createDataFrame(rows, VEC).withColumn("rank", F.lit(1)).repartition(5)
     got = {tuple(r) for r in exact_topk(df, 10, 7, block_rows=16, query_rows=16).collect()}
-    assert {g for g in got if g[0] != 330} == {b for b in brute(rows, 10, 7) if b[0] != 330}
+    assert got == brute(rows, 10, 7)
+    assert {tuple(r) for r in exact_topk(df, 10, 7, block_rows=4, query_rows=5, group_bytes=400).collect()} == got
     assert exact_topk(spark.createDataFrame([], VEC)).count() == 0
     assert exact_topk(spark.createDataFrame([(1, [1.0])], VEC)).count() == 0
 
 
 def test_blocks_are_pruned_without_loss_of_ties():
-    one = np.ones((1, 2), np.int64)
+    one = np.ones((1, 2))
     blocks = [(np.array([5]), one, one[0], one[0]), (np.array([3]), one, one[0], one[0]), (np.array([9]), -one, -one[0], -one[0])]
     n, i, s = search_blocks((np.array([0]), one), blocks, 1)
     assert i.tolist() == [3] and s.tolist() == [2]
 
 
+def test_values_beyond_the_exact_doubles(spark):
+    """Large finite parts: ranked by exact integers, scores shown within the longs; too large to scale takes no part."""
+    rows = [(0, [1e17, 3.0]), (1, [2e17, 1.0]), (2, [2e17, 2.0]), (3, [-1e17, 0.0]), (4, [1.0, 1.0]), (5, [1e6, -7.0]), (6, [1e308, 1.0]), (7, [1e300, 0.0]), (10, [2.0**44, 1.0])]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 9).collect()}
+    ok = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i != 6}
+    for q in (0, 10):
+        order = sorted(((-sum(x * y for x, y in zip(ok[q], v)), i) for i, v in ok.items() if i != q))
+        assert [got[q, r + 1] for r in range(len(order))] == [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in order]
+
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
 
