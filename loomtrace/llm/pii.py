@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Kinds of the fixed patterns; the field knows secrets (keys, tokens) besides.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 # Fixed patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match never begins inside digits, and need not be sought there
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -62,14 +64,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the conditional random field
 
 #: O, and of each kind the first word of an item (B) and its further words (I).
-LABELS = ("O", *(f"{part}-{kind}" for kind in KINDS for part in "BI"))
+LABELS = ("O", *(f"{part}-{kind}" for kind in ALL_KINDS for part in "BI"))
 _FEATURES = 1 << 12
-_PART = 512  # words of a window whose features are held at once
-_LOT = 100_000  # places decoded at once, or one window
+_LOT = 200_000  # places decoded at once, or one text
 _TOKEN = re.compile(r"\S+")
-#: Tokens near which a span can be: a digit, an at sign, or one that is spelled out.
-_TRIGGER = re.compile(r"[0-9@]|[(\[]\s*(?:at|dot|AT|DOT)\s*[)\]]")
-_CUES = frozenset("phone tel telephone call fax mobile cell mail email e-mail contact write ip host server address card visa credit number from at dot".split())
+#: Every plausible span holds one of these: texts without any need no decoding.
+_ANY = re.compile("[0-9@]")
+_AT, _DOT = re.compile(r"\bat\b", re.I), re.compile(r"\bdot\b", re.I)
+_CUES = frozenset("phone tel telephone call fax mobile cell mail email e-mail contact write ip host server address card visa credit number from at dot token key secret password api com org net edu de = : (at) (dot) [at] [dot] with or and".split())
+_DIGITS_OF = re.compile("[0-9]")
+_SIGNS = ",.;:!?#$%&*|\"'`<>{}~^"
 
 
 def shape(word: str) -> str:
@@ -80,9 +84,12 @@ def shape(word: str) -> str:
 
 def _own(word: str) -> list[int]:
     """Feature numbers of a word, apart from its place."""
-    digits = sum(c.isdigit() for c in word)
-    low = word.strip(".,;:()[]").lower()
-    names = [f"s={shape(word)}", f"core={shape(word.strip('.,;:'))}", f"d={min(digits, 20)}", f"dots={word.count('.')}", f"at={'@' in word}", f"p={word[0]}", f"cue={low if low in _CUES else ''}", f"dash={word.count('-')}", f"brackets={word[0] + word[-1] if word[0] in '([' else ''}"]
+    digits = len(_DIGITS_OF.findall(word))
+    core = word.strip(_SIGNS)
+    low = core.lower() if core else word
+    letters = sum(c.isalpha() for c in core)
+    code = len(core) >= 16 and digits >= 2 and letters >= 2 and re.fullmatch(r"[A-Za-z0-9_+/=.-]+", core) is not None
+    names = [f"s={shape(word)}" if len(core) < 16 else "s=long", f"core={shape(core)}" if len(core) < 16 else f"code={code}", f"d={min(digits, 20)}", f"dots={min(core.count('.'), 5)}", f"at={'@' in word}", f"p={core[:1] if not core[:1].isalpha() else 'a'}", f"cue={low if low in _CUES else ''}", f"dash={min(word.count('-'), 5)}", f"brackets={word[0] + core[-1:] if word[0] in '([' else ''}", f"n={min(len(core), 12)},{digits > 0}"]
     return [crc32(n.encode()) % _FEATURES for n in names]
 
 
@@ -100,7 +107,9 @@ def labelled_table(seed: int = 5) -> list[tuple[list[str], list[str]]]:
 
     def email():
         n, h = rng.choice([f"{word()}.{word()}{d(2)}", f"{word()}.{word()}", word(), f"{word()}{d(3)}"]), word()
-        return rng.choice([[f"{n}@{h}.com"], [n, "(at)", h, "(dot)", "com"], [n, "[at]", h, "[dot]", "org"], [f"{n}(at){h}(dot)net"], [f"{n}[at]{h}.com"]])
+        at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("(AT)", "(DOT)"), ("[At]", "[Dot]"), ("at", "dot"), ("at", "dot"), ("AT", "DOT")])
+        end = rng.choice(["com", "org", "net", "de", "edu"])
+        return rng.choice([[f"{n}@{h}.{end}"], [n, at, h, dot, end], [n, at, h, dot, end], [f"{n}(at){h}(dot){end}"], [f"{n}[at]{h}.{end}"]])
 
     def phone():
         a, b, c = d(3), d(3), d(4)
@@ -113,26 +122,34 @@ def labelled_table(seed: int = 5) -> list[tuple[list[str], list[str]]]:
         x = card()
         return rng.choice([[x], [x[:4], x[4:8], x[8:12], x[12:]], ["-".join((x[:4], x[4:8], x[8:12], x[12:]))], [".".join((x[:4], x[4:8], x[8:12], x[12:]))]])
 
+    def secret():
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 40, 64])))
+        mixed = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(rng.randint(20, 44))) + d(2)
+        x = rng.choice([hexes, hexes, hexes.upper(), mixed, "sk_" + mixed])
+        return [rng.choice([x, f'"{x}"', f'"{x}"', f"'{x}'"])]
+
     def other():
-        return rng.choice([[d(1)], [d(2)], [d(3)], [d(4)], [f"{d(1)}.{d(1)}"], [f"{d(1)}.{d(2)}.{d(1)}"], [f"{d(4)}-{d(2)}-{d(2)}"], [f"{d(2)}:{d(2)}"], [f"${d(3)}"], [f"{d(2)}%"], [f"#{d(6)}"], [f"{d(12)}"], [d(6)], [d(8)], [word() + d(2)], [f"v{d(1)}.{d(1)}"], [f"({d(4)})"], [f"sk_{d(10)}{word()}"], [f"/{word()}/{d(5)}"], ["version", d(1)], ["CC", "BY", f"{d(1)}.{d(1)}"], [f"@{word()}"], [f"{d(4)}-{d(4)}"], [f"{d(3)},{d(3)}"]])
+        return rng.choice([[d(1)], [d(2)], [d(3)], [d(4)], [f"{d(1)}.{d(1)}"], [f"{d(1)}.{d(2)}.{d(1)}"], [f"{d(4)}-{d(2)}-{d(2)}"], [f"{d(2)}:{d(2)}"], [f"${d(3)}"], [f"{d(2)}%"], [f"#{d(6)}"], [f"{d(12)}"], [d(6)], [d(8)], [word() + d(2)], [f"v{d(1)}.{d(1)}"], [f"({d(4)})"], [f"/{word()}/{d(5)}"], ["version", d(1)], ["CC", "BY", f"{d(1)}.{d(1)}"], [f"@{word()}"], [f"{d(4)}-{d(4)}"], [f"{d(3)},{d(3)}"], ["at", word(), "dot"], ["at", d(2)], [word(), "at", word()], ["look", "at", "the", "dot"], [word() * 4], [f"{word()}-{word()}-{word()}-{d(2)}"], ["token", "=", word()], ["key", word()], ["dot", word()]])
 
     def cue(kind):
-        return rng.choice([[], [], [rng.choice({"email": ["mail", "contact", "write"], "phone": ["phone", "call", "tel"], "ip": ["ip", "host", "from"], "card": ["card", "visa", "number"]}[kind])]])
+        if kind == "secret" and rng.random() < 0.6:
+            return [rng.choice(["token", "key", "secret", "TOKEN", "Token"]), rng.choice(["=", ":", "is"])]
+        return rng.choice([[], [], [rng.choice({"email": ["mail", "contact", "write"], "phone": ["phone", "call", "tel"], "ip": ["ip", "host", "from"], "card": ["card", "visa", "number"], "secret": ["token", "key", "secret", "api"]}[kind])]])
 
-    makers = {"email": email, "phone": phone, "ip": ip, "card": cards}
+    makers = {"email": email, "phone": phone, "ip": ip, "card": cards, "secret": secret}
     table = []
-    for _ in range(500):
+    for _ in range(600):
         words, labels = [], []
         for _ in range(rng.randint(1, 3)):
             words += (w := [word() for _ in range(rng.randint(0, 4))])
             labels += ["O"] * len(w)
-            kind = rng.choice([*KINDS, "O", "O", "O"])
+            kind = rng.choice([*ALL_KINDS, "O", "O", "O", "O"])
             pre = cue(kind) if kind != "O" else []
             words += pre
             labels += ["O"] * len(pre)
             for _ in range(rng.choice([1, 1, 2, 3, 5]) if kind != "O" else 1):  # lists of items of one kind
                 own = makers[kind]() if kind != "O" else other()
-                own = [*own[:-1], own[-1] + rng.choice(["", "", ".", ",", ";"] if kind != "O" else ["", "", ".", ","])]
+                own = [*own[:-1], own[-1] + rng.choice(["", "", "", ".", ",", ";", "!!", "###", "$$$"] if kind != "O" else ["", "", ".", ",", "!!", "***"])]
                 words += own
                 labels += [f"{'I' if k else 'B'}-{kind}" for k in range(len(own))] if kind != "O" else ["O"] * len(own)
         words += (w := [word() for _ in range(rng.randint(1, 4))])
@@ -147,21 +164,16 @@ class Crf:
     def __init__(self):
         self.w = np.zeros((3, _FEATURES, len(LABELS)))
         self.t = np.zeros((len(LABELS), len(LABELS)))
-        self.memo: dict[str, np.ndarray] = {}
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, 3, len(LABELS)), np.float32)
 
     def _pad(self, sequences: list[list[str]]):
         """Feature numbers (sequence, place, feature) of words and a mask."""
         top = max(map(len, sequences))
-        x = np.zeros((len(sequences), top, 9), np.int64)
+        x = np.zeros((len(sequences), top, len(_own("x"))), np.int64)
         mask = np.zeros((len(sequences), top), bool)
-        if len(self.memo) > 200_000:
-            self.memo.clear()
         for i, s in enumerate(sequences):
-            for j, w in enumerate(s):
-                f = self.memo.get(w)
-                if f is None:
-                    f = self.memo[w] = np.array(_own(w))
-                x[i, j] = f
+            x[i, : len(s)] = [_own(w) for w in s]
             mask[i, : len(s)] = True
         return x, mask
 
@@ -173,68 +185,119 @@ class Crf:
         out[:, :-1] += part[2][:, 1:]
         return out
 
-    def fit(self, table, rounds: int = 40, rate: float = 0.3, decay: float = 1e-4) -> Crf:
-        """Maximum likelihood by full-batch gradients with per-weight step sizes."""
+    def prepared(self, table) -> dict:
+        """A labelled table as arrays: features, mask, labels, and the places of each feature in order."""
         x, mask = self._pad([w for w, _ in table])
         y = np.zeros(mask.shape, np.int64)
         for i, (_, labels) in enumerate(table):
             y[i, : len(labels)] = [LABELS.index(k) for k in labels]
         gold = np.eye(len(LABELS))[y] * mask[..., None]
         pair = mask[:, 1:] & mask[:, :-1]
-        gold_t = np.einsum("ijk,ijl,ij->kl", gold[:, :-1], gold[:, 1:], pair)
-        seen_w, seen_t = np.full(self.w.shape, 1e-8), np.full(self.t.shape, 1e-8)
+        place, which = np.nonzero(np.repeat(mask.ravel()[:, None], x.shape[2], axis=1))
+        feature = x.reshape(-1, x.shape[2])[place, which]
+        order = np.argsort(feature, kind="stable")
+        begin = np.flatnonzero(np.diff(feature[order], prepend=-1))
+        return {"x": x, "mask": mask, "gold": gold, "pair": pair, "gold_t": np.einsum("ijk,ijl,ij->kl", gold[:, :-1], gold[:, 1:], pair), "place": place[order], "begin": begin, "feature": feature[order][begin]}
+
+    def gradient(self, given: dict, decay: float = 0.0):
+        """Log-likelihood of a prepared table, and its gradients to both kinds of weights, by forward and backward sums."""
+        x, mask, gold, pair = (given[k] for k in ("x", "mask", "gold", "pair"))
         n = x.shape[1]
+        e = self.scores(x, mask)
+        fwd, back = np.zeros_like(e), np.zeros_like(e)
+        fwd[:, 0] = e[:, 0]
+        for j in range(1, n):
+            v = np.logaddexp.reduce(fwd[:, j - 1, :, None] + self.t, axis=1) + e[:, j]
+            fwd[:, j] = np.where(mask[:, j, None], v, fwd[:, j - 1])
+        for j in range(n - 2, -1, -1):
+            v = np.logaddexp.reduce(self.t + (e[:, j + 1] + back[:, j + 1])[:, None, :], axis=2)
+            back[:, j] = np.where(mask[:, j + 1, None], v, 0)
+        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
+        p = np.exp(fwd + back - z[:, None, None]) * mask[..., None]
+        joint = np.exp(fwd[:, :-1, :, None] + self.t + (e[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None])
+        gt = given["gold_t"] - np.einsum("ijkl,ij->kl", joint, pair) - decay * self.t
+        diff = gold - p
+        gw = -decay * self.w
+        shifted = [diff, np.pad(diff[:, 1:], ((0, 0), (0, 1), (0, 0))), np.pad(diff[:, :-1], ((0, 0), (1, 0), (0, 0)))]
+        for k, s in enumerate(shifted):
+            gw[k, given["feature"]] += np.add.reduceat(s.reshape(-1, len(LABELS))[given["place"]], given["begin"], axis=0)
+        likelihood = float((e * gold).sum() + (given["gold_t"] * self.t).sum() - z.sum())
+        return likelihood, gw, gt
+
+    def fit(self, table, rounds: int = 40, rate: float = 0.3, decay: float = 1e-4) -> Crf:
+        """Maximum likelihood by full-batch gradients with per-weight step sizes."""
+        seen_w, seen_t = np.full(self.w.shape, 1e-8), np.full(self.t.shape, 1e-8)
+        given = self.prepared(table)
         for _ in range(rounds):
-            e = self.scores(x, mask)
-            fwd, back = np.zeros_like(e), np.zeros_like(e)
-            fwd[:, 0] = e[:, 0]
-            for j in range(1, n):
-                v = np.logaddexp.reduce(fwd[:, j - 1, :, None] + self.t, axis=1) + e[:, j]
-                fwd[:, j] = np.where(mask[:, j, None], v, fwd[:, j - 1])
-            for j in range(n - 2, -1, -1):
-                v = np.logaddexp.reduce(self.t + (e[:, j + 1] + back[:, j + 1])[:, None, :], axis=2)
-                back[:, j] = np.where(mask[:, j + 1, None], v, 0)
-            z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            p = np.exp(fwd + back - z[:, None, None]) * mask[..., None]
-            joint = np.exp(fwd[:, :-1, :, None] + self.t + (e[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None])
-            gt = gold_t - np.einsum("ijkl,ij->kl", joint, pair) - decay * self.t
-            diff = gold - p
-            gw = -decay * self.w
-            shifted = [diff, np.pad(diff[:, 1:], ((0, 0), (0, 1), (0, 0))), np.pad(diff[:, :-1], ((0, 0), (1, 0), (0, 0)))]
-            for k, s in enumerate(shifted):
-                s = s * mask[..., None]
-                for f in range(x.shape[2]):
-                    np.add.at(gw[k], x[..., f].ravel(), s.reshape(-1, len(LABELS)))
+            _, gw, gt = self.gradient(given, decay)
             seen_w += gw**2
             seen_t += gt**2
             self.w += rate * gw / np.sqrt(seen_w)
             self.t += rate * gt / np.sqrt(seen_t)
         return self
 
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Row of each word in the table of label scores, from 1."""
+        rows = self.rows
+        out = np.empty(len(words), np.int32)
+        new = []
+        for j, w in enumerate(words):
+            k = rows.get(w)
+            if k is None:
+                k = rows[w] = len(rows) + 1
+                new.append(w)
+            out[j] = k
+        if new:
+            last = len(rows)
+            if last >= len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(last, len(self.table)), 3, len(LABELS)), np.float32)])
+            for at in range(0, len(new), 2000):
+                some = new[at : at + 2000]
+                first = last - len(new) + 1 + at
+                self.table[first : first + len(some)] = self.w[:, np.array([_own(w) for w in some])].sum(axis=2).transpose(1, 0, 2)
+        return out
+
     def decode(self, sequences: list[list[str]]) -> list[list[str]]:
         """The likeliest labels of each sequence, by Viterbi over all sequences at once."""
-        if not sequences:
-            return []
-        top = max(map(len, sequences))
-        best, back = None, np.zeros((len(sequences), top, len(LABELS)), np.int8)
-        for at in range(0, top, _PART):  # features of a part at a time, with a word on either side; the scores are carried on
-            lo, end = max(0, at - 1), min(top, at + _PART)
-            x, mask = self._pad([s[lo : end + 1] for s in sequences])
-            e = self.scores(x, mask)
-            for j in range(at, end):
-                if best is None:
-                    best = e[:, 0]
-                    continue
-                step = best[:, :, None] + self.t
-                more = mask[:, j - lo, None]
-                back[:, j] = np.where(more, step.argmax(axis=1), np.arange(len(LABELS)))
-                best = np.where(more, step.max(axis=1) + e[:, j - lo], best)
+        return [[LABELS[k] for k in path.tolist()] for path in self.paths(sequences)]
+
+    def paths(self, sequences: list[list[str]]) -> list[np.ndarray]:
+        """Label numbers of each sequence; sequences may be empty. The table of words starts anew once it holds 200,000."""
+        if len(self.rows) > 200_000:
+            self.rows.clear()
+            self.table = self.table[:1024]
+        size = np.array([len(s) for s in sequences], np.int64)
+        if not len(size) or not size.max():
+            return [np.zeros(0, np.int64) for _ in sequences]
+        order = np.argsort(-size, kind="stable")  # longest first: at a place, a leading part is still running
+        top = int(size.max())
+        rows = np.zeros((top + 2, len(size)), np.int32)
+        for i, k in enumerate(order.tolist()):
+            rows[1 : size[k] + 1, i] = self._numbers(sequences[k])
+        table, t = self.table, self.t.astype(np.float32)
+        live = np.searchsorted(-size[order], -np.arange(1, top + 1), "right")
+        back = np.zeros((top, len(size), len(LABELS)), np.int8)
+        best = np.zeros((len(size), len(LABELS)), np.float32)
+        for j in range(top):
+            m = int(live[j])
+            e = table[rows[j + 1, :m], 0] + table[rows[j, :m], 1] + table[rows[j + 2, :m], 2]
+            if not j:
+                best[:m] = e
+                continue
+            step = best[:m, None, :] + t.T[None]
+            choice = step.argmax(axis=2)
+            back[j, :m] = choice
+            best[:m] = np.take_along_axis(step, choice[..., None], 2)[..., 0] + e
         label = best.argmax(axis=1)
-        path = np.zeros((len(sequences), top), np.int64)
+        path = np.zeros((top, len(size)), np.int8)
         for j in range(top - 1, -1, -1):
-            path[:, j] = label
-            label = back[np.arange(len(label)), j, label]
-        return [[LABELS[k] for k in path[i, : len(s)].tolist()] for i, s in enumerate(sequences)]
+            m = int(live[j])
+            path[j, :m] = label[:m]
+            label[:m] = back[j, np.arange(m), label[:m]]
+        out: list = [None] * len(size)
+        for i, k in enumerate(order.tolist()):
+            out[k] = path[: size[k], i].astype(np.int64)
+        return out
 
 
 @cache
@@ -242,44 +305,25 @@ def model() -> Crf:
     return Crf().fit(labelled_table())
 
 
-_DIGITS = {"email": (0, 99), "ip": (4, 16), "card": (13, 19), "phone": (7, 15)}
+_DIGITS = {"email": (0, 99), "ip": (4, 16), "card": (13, 19), "phone": (7, 15), "secret": (2, 400)}
 
 
 def _plausible(kind: str, s: str) -> bool:
     """What every span of a kind has, whatever its shape."""
     low, high = _DIGITS[kind]
-    if not low <= sum(c.isdigit() for c in s) <= high:
+    if not low <= len(_DIGITS_OF.findall(s)) <= high:
         return False
     if kind == "email":
-        return bool(re.search(r"@|[(\[]\s*at\s*[)\]]", s, re.I)) and bool(re.search(r"\.|[(\[]\s*dot\s*[)\]]", s, re.I))
+        return bool(re.fullmatch(r"[^\s@]+?(@|\s*[(\[]\s*at\s*[)\]]\s*|\s+at\s+)[^\s@]+?((\.|\s*[(\[]\s*dot\s*[)\]]\s*|\s+dot\s+)[\w-]+)+", s, re.I))
     if kind == "card":
-        return _luhn("".join(c for c in s if c.isdigit()))
+        return bool(re.fullmatch(r"[0-9 .\s-]+", s)) and _luhn("".join(_DIGITS_OF.findall(s)))
+    if kind == "secret":
+        return bool(re.fullmatch(r"[A-Za-z0-9_+/=.-]{16,}", s)) and re.search("[A-Za-z]", s) is not None
     if kind == "ip":
         return all(p and int(p) <= 255 for p in s.split(":")[0].split(".")) if re.fullmatch(r"[0-9.]+(:[0-9]+)?", s) else False
     return bool(re.fullmatch(r"[+0-9().\s-]+", s))
 
 
-def windows(text: str, around: int = 3) -> list[list[tuple[int, int]]]:
-    """Runs of words within ``around`` words of a trigger; elsewhere the only label is O."""
-    if not _TRIGGER.search(text):
-        return []
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    if not tokens:
-        return []
-    starts = np.array([a for a, _ in tokens])
-    hot = np.zeros(len(tokens) + 1, np.int64)
-    for m in _TRIGGER.finditer(text):
-        k = int(np.searchsorted(starts, m.start(), "right")) - 1
-        hot[max(0, k - around)] += 1
-        hot[min(len(tokens), k + around + 1)] -= 1
-    inside = np.cumsum(hot)[:-1] > 0
-    out, k = [], 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-    for a, b in edges.reshape(-1, 2).tolist():
-        out.append(tokens[a:b])
-    return out
-
-
 def _parts(kind: str, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Plausible spans among the words of one item: all of it, or else parts that cover the most words, of sizes as even as can be.
 
@@ -288,15 +332,15 @@ def _parts(kind: str, text: str, words: list[tuple[int, int]]) -> list[tuple[int
 
     def trimmed(k, j):
         s = text[words[k][0] : words[j - 1][1]]
-        a = words[k][0] + len(s) - len(s.lstrip(",.;:"))
-        s = s.strip(",.;:")
+        a = words[k][0] + len(s) - len(s.lstrip(_SIGNS))
+        s = s.strip(_SIGNS)
         return (a, a + len(s)) if s and _plausible(kind, s) else None
 
     whole = trimmed(0, len(words)) if words else None
     if whole or len(words) < 2:
         return [whole] if whole else []
     high = _DIGITS[kind][1]
-    digits = [sum(c.isdigit() for c in text[a:b]) for a, b in words]
+    digits = [len(_DIGITS_OF.findall(text, a, b)) for a, b in words]
     best: list = [(0, 0, None)] * (len(words) + 1)  # words not covered, squares of digits, the part that begins here and where it ends
     for k in range(len(words) - 1, -1, -1):
         best[k] = (best[k + 1][0] + 1, best[k + 1][1], None)
@@ -342,57 +386,63 @@ def _cover(spans: list) -> tuple[list[int], list[int]]:
 
 
 def added_spans(texts: list[str], crf: Crf, base: list[list]) -> list[list[tuple[str, int, int]]]:
-    """Spans that the field finds beside the fixed patterns' spans."""
-    places = [(i, w) for i, t in enumerate(texts) for w in windows(t)]
-    covers = [_cover(s) for s in base]
+    """Spans that the field finds beside the fixed patterns' spans.
+
+    Whole texts are decoded, but for those that hold nothing of which every span has something.
+    """
+    asked = [i for i, t in enumerate(texts) if _ANY.search(t) or _DOT.search(t) and _AT.search(t)]
+    covers = {i: _cover(base[i]) for i in asked}
+    places = {i: [m.span() for m in _TOKEN.finditer(texts[i])] for i in asked}
     out: list[list] = [[] for _ in texts]
-    order = sorted(range(len(places)), key=lambda k: len(places[k][1]))
+    order = sorted(asked, key=lambda i: len(places[i]))
     at = 0
     while at < len(order):
         end = at + 1
-        while end < min(len(order), at + 2000) and (end + 1 - at) * len(places[order[end]][1]) <= _LOT:
+        while end < len(order) and (end + 1 - at) * len(places[order[end]]) <= _LOT:
             end += 1
-        own = [places[k] for k in order[at:end]]
+        own = order[at:end]
         at = end
-        for (i, w), labels in zip(own, crf.decode([[texts[i][a:b] for a, b in w] for i, w in own])):
-            k = 0
-            while k < len(w):
-                kind, j = labels[k][2:], k + 1
-                while j < len(w) and kind and labels[j] == f"I-{kind}":
+        for i, path in zip(own, crf.paths([[texts[i][a:b] for a, b in places[i]] for i in own])):
+            w = places[i]
+            for k in np.flatnonzero(path % 2 == 1).tolist():  # the first word of an item
+                j, kind = k + 1, LABELS[path[k]][2:]
+                while j < len(w) and path[j] == path[k] + 1:
                     j += 1
-                if kind:
-                    for free in _free(w[k:j], *covers[i]):
-                        out[i] += [(kind, *span) for span in _parts(kind, texts[i], free)]
-                k = j
+                for free in _free(w[k:j], *covers[i]):
+                    out[i] += [(kind, *span) for span in _parts(kind, texts[i], free)]
     return [sorted(s, key=lambda x: x[1]) for s in out]
 
 
 def _text_of(spans) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (ALL_KINDS.index(s[0]), s[1])))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret, n_found) of every row.
 
-    Counts and digest are of the fixed patterns' spans; ``spans`` holds these and
-    the field's, which never overlap them. Null texts are empty; repeated rows
-    and null ids stay; whole texts are read; an empty table gives no rows.
+    The four counts and the digest are of the fixed patterns' spans; ``spans`` holds
+    these and the field's, which never overlap them. The field also finds secrets
+    (keys and tokens), listed last with kind ``secret``. ``n_added`` counts the field's
+    spans, ``n_found`` all. Null texts are empty; repeated rows and null ids stay;
+    whole texts are read; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):
         crf = sent.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            base = [base_spans(t) for t in texts]
-            more = added_spans(texts, crf, base)
-            count = [[sum(k == kind for k, _, _ in s) for s in base] for kind in KINDS]
-            digest = [hashlib.sha256(_text_of(s).encode()).hexdigest() for s in base]
-            cols = [b.column(0), *(pa.array(c, pa.int64()) for c in count), pa.array(digest, pa.string()), pa.array([_text_of([*s, *m]) for s, m in zip(base, more)], pa.string()), pa.array([len(m) for m in more], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            for at in range(0, b.num_rows, 1000):
+                lot = b.slice(at, 1000)
+                texts = lot.column(1).to_pylist()
+                base = [base_spans(t) for t in texts]
+                more = added_spans(texts, crf, base)
+                count = [[sum(k == kind for k, _, _ in s) for s in base] for kind in KINDS]
+                digest = [hashlib.sha256(_text_of(s).encode()).hexdigest() for s in base]
+                cols = [lot.column(0), *(pa.array(c, pa.int64()) for c in count), pa.array(digest, pa.string()), pa.array([_text_of([*s, *m]) for s, m in zip(base, more)], pa.string()), pa.array([len(m) for m in more], pa.int64()), pa.array([sum(k == "secret" for k, _, _ in m) for m in more], pa.int64()), pa.array([len(s) + len(m) for s, m in zip(base, more)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_secret", "n_found"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_found long")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -401,7 +451,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         crf = sent.value
-        for b in batches:
+        for b in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
             texts = b.column(text_col).to_pylist()
             known = [t or "" for t in texts]
             base = [base_spans(t) for t in known]
