@@ -117,17 +117,22 @@ class Search:
     def __call__(self, text: bytes) -> list[tuple[int, float, int, int]]:
         """(item_id, score, first word, last word) of each item held."""
         h = word_hashes(text)[1]
-        spots: dict[int, set[int]] = {}
+        spots: dict[int, dict[int, set[int]]] = {}
         for g, pos, table in self.seeds.hits(h):
             for k, at in table[g]:
-                if g in self.rare[k]:
-                    spots.setdefault(k, set()).add(max(0, pos - at) // max(8, len(self.seeds.items[k][1]) // 2))
+                span = max(8, len(self.seeds.items[k][1]) // 2)
+                found = spots.setdefault(k, {}).setdefault(max(0, pos - at) // span, set())
+                found.add(-1 if g in self.rare[k] else g)
         out = []
-        for k, windows in spots.items():
+        for k, found in spots.items():
             item, target = self.seeds.items[k]
             size, best = len(target), (0, 0, 0)
             span = max(8, size // 2)
-            for w in sorted(windows):
+            for w in sorted(found):
+                # a rare seed, or two others at about one place of the text, here or over the border to the next window
+                near = found[w] | found.get(w + 1, set())
+                if -1 not in found[w] and len(near) < 2:
+                    continue
                 lo = max(0, (w - 1) * span - 4)
                 part = h[lo : (w + 1) * span + size + size // 3 + 4]
                 key = (k, part.tobytes())
@@ -194,9 +199,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     any size of the benchmark; each lot scans the corpus twice. The first scan
     counts in how many documents each of the items' n-grams occurs; an item's rare
     seeds are those no more frequent than its median seed. In the second, passages
-    around rare seeds are aligned with the item; score is the alignment's share of
-    a perfect one, and at least ``least`` is a copy, edited or whole. All narrow:
-    rows of a passage that very many documents hold stay where they are.
+    with a rare seed, or with two others at about one place, are aligned with the
+    item; score is the alignment's share of a perfect one, and at least ``least`` is
+    a copy, edited or whole. Copies so broken that they share no such seeds are
+    lost; a test measures how few. All narrow: rows of a passage that very many
+    documents hold stay where they are.
 
     Null texts and items hold nothing; items without words match nothing; items
     of fewer than ``n`` words are sought as a whole; repeated documents are

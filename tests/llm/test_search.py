@@ -82,3 +82,49 @@ def test_align_equals_plain_smith_waterman():
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
         assert align(a, b)[0] == h.max()
     assert align(np.arange(5), np.array([9, 9, 0, 1, 2, 3, 4, 9])) == (10, 2, 6)
+
+
+def edited(rng, words, vocab):
+    """A part of an item with words replaced, dropped and added, in a text of other words."""
+    a = rng.integers(0, max(1, len(words) // 2))
+    out = []
+    for w in words[a : a + rng.integers(len(words) // 2, len(words) + 1)]:
+        kind = rng.random()
+        if kind < 0.1:
+            out.append(str(rng.choice(vocab)))
+        elif kind < 0.15:
+            out += [w, str(rng.choice(vocab))]
+        elif kind > 0.05 + 0.15:
+            out.append(w)
+    return out
+
+
+def test_recall_against_alignment_of_everything(spark):
+    """Every text against every item, whole: what scores enough is found in at least nine of ten cases, and nothing else is."""
+    from loomtrace.llm.decontaminate import word_hashes
+
+    rng = np.random.default_rng(11)
+    vocab = [f"w{k}" for k in range(400)]
+    share = 1 / np.arange(1, 401)
+    draw = lambda n: [str(x) for x in rng.choice(vocab, n, p=share / share.sum())]
+    items = [draw(int(rng.integers(10, 45))) for _ in range(40)]
+    texts = []
+    for k in range(260):
+        w = draw(int(rng.integers(20, 120)))
+        if k % 4:
+            w += edited(rng, items[k % 40], vocab) + draw(30)
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    hashed = [word_hashes(" ".join(w).encode())[1] for w in items]
+    want = {(i, k) for i, t in enumerate(texts) for k, h in enumerate(hashed) if align(h, word_hashes(t.encode())[1])[0] >= len(h)}
+    assert len(want) > 100 and got <= want and len(got & want) >= 0.9 * len(want), (len(got), len(want))
+
+
+def test_copy_of_the_commoner_half(spark):
+    """Of an item whose first half holds the rarer n-grams only the second half is copied."""
+    w = ITEM.split()
+    rows = [(k, " ".join(w[9:])) for k in range(5)] + [(9, "x " * 50 + " ".join(w[9:]) + " y" * 50)]
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 9} and all(abs(r.score - 0.55) < 1e-9 for r in got)
