@@ -102,10 +102,11 @@ SQL = {
     known AS (SELECT doc_id AS num, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
     nodes AS (SELECT host, s1, s2, s3, count(*) AS pages, sum(CASE WHEN k.num IS NULL THEN 0 ELSE 1 END) AS n, sum(coalesce(k.bad, 0)) AS bad FROM b LEFT JOIN known k ON b.num = k.num GROUP BY host, s1, s2, s3),
     w1 AS (SELECT host FROM nodes GROUP BY host HAVING count(DISTINCT s1) >= 20 AND sum(pages) < 2 * count(DISTINCT s1)),
-    w2 AS (SELECT host, s1 FROM nodes GROUP BY host, s1 HAVING count(DISTINCT s2) >= 20 AND sum(pages) < 2 * count(DISTINCT s2)),
-    w3 AS (SELECT host, s1, s2 FROM nodes GROUP BY host, s1, s2 HAVING count(DISTINCT s3) >= 20 AND sum(pages) < 2 * count(DISTINCT s3)),
-    t AS (SELECT n.*, CASE WHEN w1.host IS NULL THEN n.s1 ELSE '*' END AS t1, CASE WHEN w2.host IS NULL THEN n.s2 ELSE '*' END AS t2, CASE WHEN w3.host IS NULL THEN n.s3 ELSE '*' END AS t3
-        FROM nodes n LEFT JOIN w1 ON n.host = w1.host LEFT JOIN w2 ON n.host = w2.host AND n.s1 = w2.s1 LEFT JOIN w3 ON n.host = w3.host AND n.s1 = w3.s1 AND n.s2 = w3.s2),
+    n1 AS (SELECT n.*, CASE WHEN w.host IS NULL THEN n.s1 ELSE '*' END AS t1 FROM nodes n LEFT JOIN w1 w ON n.host = w.host),
+    w2 AS (SELECT host, t1 FROM n1 GROUP BY host, t1 HAVING count(DISTINCT s2) >= 20 AND sum(pages) < 2 * count(DISTINCT s2)),
+    n2 AS (SELECT n.*, CASE WHEN w.host IS NULL THEN n.s2 ELSE '*' END AS t2 FROM n1 n LEFT JOIN w2 w ON n.host = w.host AND n.t1 = w.t1),
+    w3 AS (SELECT host, t1, t2 FROM n2 GROUP BY host, t1, t2 HAVING count(DISTINCT s3) >= 20 AND sum(pages) < 2 * count(DISTINCT s3)),
+    t AS (SELECT n.*, CASE WHEN w.host IS NULL THEN n.s3 ELSE '*' END AS t3 FROM n2 n LEFT JOIN w3 w ON n.host = w.host AND n.t1 = w.t1 AND n.t2 = w.t2),
     root AS (SELECT (coalesce(sum(bad), 0) + 1.0) / CAST(coalesce(sum(n), 0) + 2.0 AS DOUBLE) AS score FROM nodes),""" + "".join(_level(f"l{k}", _TREE[: k + 1], _TREE[:k], f"l{k - 1}" if k else "root") for k in range(4)) + """
     refused AS (SELECT DISTINCT t.host, s1, s2, s3 FROM t JOIN l3 ON t.host = l3.host AND t.t1 = l3.t1 AND t.t2 = l3.t2 AND t.t3 = l3.t3 WHERE score > 0.5),
     o AS (SELECT b.page_id, b.host, b.path, CASE WHEN r.host IS NULL THEN 'allow' ELSE 'block' END AS judged,

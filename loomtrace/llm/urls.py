@@ -47,8 +47,11 @@ def _segments(path: Column) -> list[Column]:
 
 
 def _generalise(nodes: DataFrame, level: int, least: int) -> DataFrame:
-    """Segment ``level`` becomes ``*`` below parents with at least ``least`` children of which hardly any recurs."""
-    parent, child = _LEVELS[:level], _LEVELS[level]
+    """Segment ``level`` becomes ``*`` below parents with at least ``least`` children of which hardly any recurs.
+
+    Parents are templates already, so what lies below a wildcard is one branch.
+    """
+    parent, child = ["host", *(f"t{k}" for k in range(1, level))], _LEVELS[level]
     each = nodes.groupBy(*parent, child).agg(F.sum("pages").alias("k"))
     wild = each.groupBy(*parent).agg(F.count("*").alias("kids"), F.sum("k").alias("all")).where((F.col("kids") >= least) & (F.col("all") < 2 * F.col("kids")))
     wild = wild.select(*parent, F.lit(True).alias("wild"))
@@ -88,7 +91,8 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, m: float = 5.
     A page carries the label of the document whose number is the last digit run
     of its path; a document is bad if toxic or of quality 0 in any of its labels.
     Pages without a rule are blocked where their template's smoothed bad share is
-    over ``reject``. Urls that are null or without ``://`` have empty host and
+    over ``reject``. A template has the host and three segments, of which the last
+    holds all deeper ones. Urls that are null or without ``://`` have empty host and
     path and are judged by that template; null ids stay; repeated rows stay;
     without labels all shares are the prior's half, which allows. Pages are
     aggregated to templates before anything is joined, so a hot host moves a few
