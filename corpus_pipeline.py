@@ -9,7 +9,7 @@ from loomtrace.llm.common import stage
 from loomtrace.llm.decontaminate import drop_contaminated
 from loomtrace.llm.langid import drop_unknown, remainder, train
 from loomtrace.llm.packing import pack
-from loomtrace.llm.parity import near_duplicates
+from loomtrace.llm.parity import linked_groups
 from loomtrace.llm.pii import redact
 
 
@@ -22,12 +22,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8, the one with the smallest id stays.
 
-    Of rows that repeat id and text one stays; null ids take no part and stay.
+    Of rows that repeat id and text the one with the smallest other columns stays,
+    of an id with several linked texts that of the smallest text hash. Texts without
+    words are linked with nothing; null ids take no part and stay.
     """
-    found = near_duplicates(docs, 5, 80, 100)
-    kept = stage(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = linked_groups(docs, 5, 80, 100)
+    group = F.when(F.col("node").isNotNull(), F.struct(F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"))).otherwise(F.struct(F.col("doc_id").alias("a"), F.col("text_hash").alias("b")))
+    kept = found.groupBy(group.alias("group")).agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select("kept.*")
+    kept = stage(kept, "kept")
+    names = docs.columns
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = hashed.join(kept.withColumnRenamed("text_hash", "__hash"), ["doc_id", "__hash"], "left_semi")
+    once = named.groupBy("doc_id", "__hash").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__row")).select("__row.*")
+    return once.select(names).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_other_similarity_and_hot_groups(spark):
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, t) for i, t in corpus(5, 60, 50)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit(7)).withColumn("label", F.lit("z"))
-    got = {tuple(r) for r in near_duplicates(df, 5, 80, 100, staged_keys=False).collect()}
+    got = {tuple(r) for r in near_duplicates(df, 5, 80, 100).collect()}
     assert got == brute(rows, 5, 80, 100)
 
 
@@ -116,11 +116,84 @@ def test_pipeline_does_not_depend_on_batch_borders(spark, monkeypatch):
 
     monkeypatch.setattr(parity, "stage", small_then_large)
     try:
-        for staged in (True, False):
-            spark.conf.set(size, "4")
-            assert {tuple(r) for r in near_duplicates(docs, 5, 80, 100, staged_keys=staged).collect()} == whole
         spark.conf.set(size, "4")
         kept = {r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, "").collect()}
     finally:
         spark.conf.set(size, before)
     assert kept == {top for _, _, top in whole}
+
+
+def test_repeated_ids_with_other_texts(spark):
+    import corpus_pipeline
+
+    words = [chr(97 + k) * 3 for k in range(26)]
+    other = "quite another text with words of its own that nothing else here has at all as far as one can see in it"
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "zz"])), (2, other), (3, other + " at"), (2, other)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(tuple(r) for r in near_duplicates(df).collect())
+    n = len(other.split()) - 3
+    assert got == sorted([(1, 23, 1), (2, 24, 1), (2, n, 2), (2, n, 2), (3, n + 1, 2)])
+    kept = sorted((r.doc_id, r.text, r.source) for r in corpus_pipeline.jaccard_join(spark, df.withColumn("source", F.lit("s")), "").collect())
+    assert kept == [(1, " ".join(words), "s"), (2, other, "s")]
+
+
+def chained(seed, groups, size, length=60):
+    """Groups of texts that share most words but drift apart, so that links form chains and components."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(length)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(length)] = f"v{rng.randrange(9)}"
+            if rng.random() < 0.4:
+                base = w
+            rows.append((len(rows), " ".join(w[: length - rng.randint(0, 5)])))
+    return rows
+
+
+def test_hot_keys_cells_and_flushes(spark, monkeypatch):
+    """Everything is hot, cells are tiny, and lots and runs end often: components are whole all the same."""
+    from loomtrace.llm import parity
+
+    rows = [*chained(1, 2, 70), *[(1000 + i, t) for i, t in corpus(9, 60, 60)]]
+    want = brute(rows, 4, 85, 100)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    assert {tuple(r) for r in near_duplicates(df).collect()} == want
+
+    monkeypatch.setattr(parity, "NARROW", 1)
+    monkeypatch.setattr(parity, "_LOT", 3000)
+    whole = parity.linked_groups(df, block=6).select("doc_id", "n_shingles", "component_id")
+    assert {tuple(r) for r in whole.collect()} == want
+
+
+def test_long_text_in_pieces(monkeypatch):
+    from loomtrace.llm import parity
+
+    text = b" ".join(b"w%d" % (k * k % 97) for k in range(5000)) + b"\xc2\xa0x\x0b y"
+    whole = shingles(text, 4)
+    monkeypatch.setattr(parity, "_PIECE", 100)
+    assert np.array_equal(shingles(text, 4), whole)
+
+
+def test_hot_runs_over_batches():
+    """A key whose run is longer than what is held keeps its star connected, and every member is named once or more."""
+    import pyarrow as pa
+
+    from loomtrace.llm import parity
+
+    scheme = Scheme(85, 100)
+    ids = np.unique((np.random.default_rng(1).integers(0, 1 << 62, 30_000) & ~np.int64(1023)) | 120)
+    key = np.full(len(ids), 5 << 8)
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + 3000]), pa.array(ids[k : k + 3000]), pa.array(np.zeros(len(ids[k : k + 3000]), np.int32)), pa.nulls(len(ids[k : k + 3000]), pa.binary())], parity._ROW) for k in range(0, len(ids), 3000)]
+    out = pa.Table.from_batches(list(parity._join_runs(scheme)(iter(batches))))
+    member, centre = np.asarray(out["b"]), np.asarray(out["c"])
+    assert set(member.tolist()) == set(ids.tolist())
+    up = dict(zip(member.tolist(), centre.tolist()))
+    tops = set()
+    for x in member.tolist():
+        while up[x] != x:
+            x = up[x]
+        tops.add(x)
+    assert len(tops) == 1
