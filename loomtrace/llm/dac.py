@@ -86,7 +86,7 @@ class Block:
 _SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, ids binary"
 
 
-def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 19) -> None:
+def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 17) -> None:
     """Tokenise ``docs`` into files of blocks at ``out``, in ascending doc_id order.
 
     Rows are dealt by ranges of (doc_id, hash of the text), sorted inside each
@@ -151,6 +151,34 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, place, token) for the distinct ``wanted`` (doc_id, place), places from 0, read from the files at ``path``.
+
+    Documents are found by the blocks' directories alone; of the blocks that hold a
+    wanted place the codes are read, and each id is taken from its levels without
+    decoding the others. Places outside a document, null or unknown ids give no
+    row; an id with several documents gives the place of each.
+    """
+    files = spark.read.schema(_SCHEMA).parquet(path)
+
+    def spread(batches):
+        for b in batches:
+            for shard, block, names, sizes in zip(*(b.column(k).to_pylist() for k in ("shard", "block", "doc_ids", "lengths"))):
+                n = np.asarray(sizes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), pa.array(np.full(len(n), block, np.int32)), pa.array(names, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n)], ["shard", "block", "doc_id", "at", "n"])
+
+    def look(batches):
+        for b in batches:
+            for asked, raw in zip(b.column("asked").to_pylist(), b.column("ids").to_pylist()):
+                block = Block(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([x["doc_id"] for x in asked], pa.int64()), pa.array([x["place"] for x in asked], pa.int64()), pa.array([block.get(x["i"]) for x in asked], pa.int64())], ["doc_id", "place", "token"])
+
+    docs = files.select("shard", "block", "doc_ids", "lengths").mapInArrow(spread, "shard int, block int, doc_id long, at long, n long")
+    hits = wanted.select(F.col("doc_id").cast("long"), F.col("place").cast("long")).distinct().join(docs, "doc_id").where("place >= 0 and place < n")
+    asked = hits.groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "place", (F.col("at") + F.col("place")).alias("i"))).alias("asked"))
+    return asked.join(files.select("shard", "block", "ids"), ["shard", "block"]).mapInArrow(look, "doc_id long, place long, token long")
+
+
 def _few(bases: DataFrame, most: int = 100_000) -> bool:
     """Whether one row a shard may be broadcast: 16 bytes each, at most ``most``."""
     return len(bases.limit(most + 1).select("shard").collect()) <= most

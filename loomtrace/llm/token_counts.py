@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +61,14 @@ def _common(text, lo, end, first, second, ids1, ids2):
     return cut
 
 
+def whole_count(memo: WordMemo, text: str, chunk: int) -> int:
+    """Tokens of a huge text; the library cuts it at special tokens first, and so it is cut here."""
+    if not memo.special:
+        return spliced_count(memo.tok, text, chunk)
+    parts = re.split("(" + "|".join(map(re.escape, sorted(memo.special, key=len, reverse=True))) + ")", text)
+    return len(parts) // 2 + sum(spliced_count(memo.tok, p, chunk) for p in parts[::2] if p)
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32_768) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
@@ -72,9 +82,9 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, id
         memo = WordMemo.at(path)
         for b in batches:
             texts_ = b.column(1).to_pylist()
-            huge = [len(t) > chunk and not any(s in t for s in memo.special) for t in texts_]
+            huge = [len(t) > chunk for t in texts_]
             short = memo.encode_many([t for t, h in zip(texts_, huge) if not h])
-            out = [spliced_count(memo.tok, t, chunk) if h else len(next(short)) // 4 for t, h in zip(texts_, huge)]
+            out = [whole_count(memo, t, chunk) if h else len(next(short)) // 4 for t, h in zip(texts_, huge)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     found = texts(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))

@@ -109,6 +109,40 @@ def test_lm_base_and_model(spark):
     assert score_documents(df.where("false")).count() == 0
 
 
+def test_scores_equal_a_plain_reading(spark, monkeypatch):
+    """Every token's log10 probability by loops, from the model's weights, classes and the training counts."""
+    held = {}
+    plain_train = maxent.train
+
+    def train_and_keep(docs, classes, **more):
+        held["w"], held["classes"] = plain_train(docs, classes, **more), classes
+        return held["w"]
+
+    monkeypatch.setattr(maxent, "train", train_and_keep)
+    df = corpus(spark).select("doc_id", "text")
+    got = {r.doc_id: r.score for r in score_documents(df, hot=7).collect()}
+    w, classes = held["w"].astype(float), held["classes"]
+    tok = {r.doc_id: (r.text or "").encode().lower().split() + [b"\n"] for r in df.collect()}
+    c = Counter(x for i, t in tok.items() if zlib.crc32(str(i if i is not None else "").encode()) % 10 for x in t)
+    of = {x: int(classes.of([x])[0]) for t in tok.values() for x in t} | {x: int(classes.of([x])[0]) for x in c}
+    mass, kinds, once = Counter(), Counter(), Counter()
+    for x, n in c.items():
+        mass[of[x]] += n
+        kinds[of[x]] += 1
+        once[of[x]] += n == 1
+    for i, t in tok.items():
+        total = 0.0
+        for j, x in enumerate(t):
+            hashes = np.array([maxent.xxhash.xxh32_intdigest(y) for y in t[: j + 1]], np.uint32)
+            f = maxent.features(hashes, np.array([of[y] for y in t[: j + 1]]))[j]
+            s = [sum(w[k, z] for k in f) for z in range(maxent.CLASSES)]
+            z = of[x]
+            total += s[z] - max(s) - math.log(sum(math.exp(y - max(s)) for y in s))
+            spare = min(0.5, max(1e-9, (once[z] + 0.5) / (mass[z] + 1)))
+            total += math.log((1 - spare) * (c[x] + 0.1) / max(mass[z] + 0.1 * kinds[z], 0.1) if x in c else spare)
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4), i
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     w = rng.normal(size=(maxent.FEATURES, maxent.CLASSES)).astype(np.float32)

@@ -139,3 +139,29 @@ def test_bins_that_cannot_merge_do_not_travel(spark):
     out = [b for k in range(1000) for b in packer.add([1030], [b"x"])] + list(packer.end())
     final = sum(sum(b.column("done").to_pylist()) for b in out)
     assert sum(b.num_rows for b in out) == 1000 and final == 995
+
+
+def test_tokens_at(spark, docs, tok, tmp_path):
+    """Single ids from the files are the library's."""
+    from loomtrace.llm.dac import tokens_at, write_tokens
+
+    write_tokens(docs, str(tmp_path / "t"), block_tokens=700)
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    want = {}
+    for r in rows:
+        x = [*ids(tok, r.text), 1]
+        for p in {0, len(x) // 2, len(x) - 1}:
+            want.setdefault((r.doc_id, p), set()).add(int(x[p]))
+    asked = [(d, p) for d, p in want] + [(rows[0].doc_id, -1), (rows[0].doc_id, 10**9), (None, 0), (10**12, 0)]
+    got = {}
+    for r in tokens_at(spark, str(tmp_path / "t"), spark.createDataFrame(asked + asked, "doc_id long, place long")).collect():
+        got.setdefault((r.doc_id, r.place), set()).add(r.token)
+    assert set(got) == set(want) and all(want[k] <= got[k] for k in want)
+
+
+def test_huge_text_with_special_tokens(tok):
+    from loomtrace.llm.common import WordMemo, tokenizer_path
+    from loomtrace.llm.token_counts import whole_count
+
+    text = "<|startoftext|>" + "some words, and more  \n" * 300 + "<|endoftext|>x<|endoftext|><|endoftext|> end" + " y" * 2000
+    assert whole_count(WordMemo.at(tokenizer_path()), text, 1000) == len(tok.encode(text, add_special_tokens=False).ids)
