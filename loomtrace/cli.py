@@ -15,6 +15,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--trace", required=True, help="normalised steps, JSON lines or Parquet")
     p.add_argument("-q", "--queries", required=True)
     p.add_argument("--format", default="json", choices=["json", "parquet"])
+    p.add_argument("--model", help="JSON document with uuid, agents and rules; names in queries are held against it")
+    p.add_argument("--recycled-ids", action="store_true", help="agents' ids are used again in the trace")
+    p.add_argument("--skip-init", action="store_true", help="leave out initial steps")
+    p.add_argument("--distributed", action="store_true", help="results as folders of text parts in order, written by the executors")
     p.add_argument("--only", help="names, separated by commas")
     p.add_argument("--output-dir", default=".")
     p.add_argument("--debug-level", type=int, default=1)
@@ -40,7 +44,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     spark = spark or SparkSession.builder.appName("loomtrace").getOrCreate()
     engine = None
     try:
-        engine = TraceEngine.load(spark, args.trace, args.format, snapshots=args.snapshots_names)
+        engine = TraceEngine.load(spark, args.trace, args.format, args.model, args.recycled_ids, args.skip_init, snapshots=args.snapshots_names)
         try:
             with open(args.queries) as f:
                 text = f.read()
@@ -52,7 +56,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         sinks.write_debug(engine, list(good.values()), args.output_dir, args.debug_level)
         for name, c in good.items():
             begin = time.perf_counter()
-            sinks.write_csv(engine, c, args.output_dir)
+            if args.profile:  # matching alone, to tell it from what comes after
+                engine.matchings(c).write.format("noop").mode("overwrite").save()
+                engine.seconds[name, "match"] = time.perf_counter() - begin
+                begin = time.perf_counter()
+            (sinks.write_text if args.distributed else sinks.write_csv)(engine, c, args.output_dir)
             if any(x.op == "measure" and x.name == "snapshot" for x in _all(c)):
                 sinks.write_snapshots(engine, c, args.output_dir, args.native_snapshots)
             engine.seconds[name, "exec-simple" if c.single else "exec"] = time.perf_counter() - begin

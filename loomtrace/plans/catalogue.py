@@ -137,7 +137,7 @@ def snapshot_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of all users just before each creation of a user."""
     trace = events_trace(spark, sf_dir)
     asked = TraceEngine(trace).matchings("query 's' match e:{ +u:User } return 1").select("trace_id", F.col("ev_e").alias("step")).distinct()
-    return state_at(asked, trace.changes, "before").where("what = 'int'").select("step", "uid", "state")
+    return state_at(asked, trace, "before", "int").select("step", "uid", "state")
 
 
 def recycled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -122,3 +123,139 @@ def test_stream(spark, tmp_path):
 
 def test_signature(spark):
     assert workshop(spark).signature().agents["Tool"] == {"grip": [], "wear": ["new", "worn"]} and len(SIG) == 6 and len(WORKSHOP) == 17
+
+
+def test_model_and_loading(spark, tmp_path):
+    """Names are held against the model; side effects and recycled ids are dealt with while loading."""
+    act = lambda op, uid, kind, **more: {"op": op, "uid": uid, "kind": kind, "origin": "action", **more}
+    steps = [
+        {"trace_id": "t", "step_id": 0, "step_kind": "init", "rule": "_init_", "time": 0.0, "actions": [act("create", 7, "Robot"), act("create", 8, "Tool"), act("bind", 7, "Robot", site="arm", dst_uid=8, dst_kind="Tool", dst_site="grip")]},
+        {"trace_id": "t", "step_id": 1, "step_kind": "rule", "rule": "scrap", "time": 1.0, "actions": [act("remove", 7, "Robot")], "side_effects_src": [{"uid": 7, "kind": "Robot", "site": "arm"}], "side_effects_dst": [{"uid": 8, "kind": "Tool", "site": "grip"}]},
+        {"trace_id": "t", "step_id": 2, "step_kind": "rule", "rule": "build", "time": 2.0, "actions": [act("create", 7, "Robot"), act("mod", 7, "Robot", site="mode", state="idle")]},
+    ]
+    (tmp_path / "t.json").write_text("\n".join(map(json.dumps, steps)))
+    (tmp_path / "m.json").write_text(json.dumps({"uuid": "u-1", "agents": [{"kind": "Robot", "sites": [{"site": "arm", "states": []}, {"site": "mode", "states": ["idle", "busy"]}]}, {"kind": "Tool", "sites": [{"site": "grip", "states": []}]}, {"kind": "Rack", "sites": []}], "rules": ["scrap", "build"]}, indent=1))
+    e = TraceEngine.load(spark, str(tmp_path / "t.json"), model=str(tmp_path / "m.json"), recycled=True)
+    assert e.uuid == "u-1" and e.signature.agents == {"Robot": {"arm": [], "mode": ["idle", "busy"]}, "Tool": {"grip": []}, "Rack": {}} and e.signature.rules == {"scrap", "build"}
+    assert e.run("query 'q' match e:{ t:Tool(grip[/.]) } return event_id{e}").collect()[0][0] == 1
+    assert e.run("query 'q' match e:{ 'build' +r:Robot } return agent_id{r}").collect()[0][0] == 2
+    for bad in ("e:{ +r:Crane } return 1", "e:{ 'smash' } return 1", "e:{ +r:Robot(mode{off}) } return 1"):
+        with pytest.raises(CompilationError):
+            e.compile(f"query 'q' match {bad}")
+    plain = TraceEngine.load(spark, str(tmp_path / "t.json"), without_init=True)
+    assert plain.run("query 'q' match e:{ } return event_id{e}").count() == 2
+    (tmp_path / "q").write_text("query 'a' match e:{ 'scrap' t:Tool(grip[/.]) } return agent_id{t}")
+    args = ["-t", str(tmp_path / "t.json"), "-q", str(tmp_path / "q"), "--model", str(tmp_path / "m.json"), "--recycled-ids", "--skip-init", "--distributed", "--output-dir", str(tmp_path / "o"), "--profile"]
+    assert cli.main(args, spark) == 0
+    assert [r.value for r in spark.read.text(str(tmp_path / "o/results/a")).collect()] == ["1"]
+    assert set(json.loads((tmp_path / "o/profile.json").read_text())["a"]) == {"match", "exec-simple"}
+
+
+@pytest.mark.parametrize("bucket", [1, 3])
+def test_hot_agents_in_buckets(spark, bucket):
+    """Lookups give the same whether an agent's steps are sorted as one or in buckets."""
+    from plain import agrees
+
+    e = TraceEngine(workshop(spark), hot_bucket=bucket)
+    for text in ("e:{ r:Robot(mode{idle/busy}) }", "e:{ -r:Robot(dock[7], arm[2]), q:Robot(dock[7], mode{idle}), t:Tool(grip[2], wear{worn}) }", "a:{ r:Robot(arm[/.]) } and last b:{ r:Robot(arm[/_]) } before a and b:{ r:Robot(mode{idle}) }"):
+        got, want = agrees(e, WORKSHOP, text)
+        assert got == want
+    rows = e.run("query 'q' match e:{ 'scrap' -r:Robot } return int_state[.e]{r.mode}, int_state[e.]{r.mode}, size{component[.e]{r}}").collect()
+    assert [tuple(r) for r in rows] == [("busy", None, 3)]
+
+
+@pytest.mark.parametrize("side", ["before", "after"])
+@pytest.mark.parametrize("by_agent", [False, True])
+def test_state_at_equals_replay(spark, side, by_agent):
+    from plain import replayed
+
+    from loomtrace.operators.state import state_at
+
+    log, _ = replayed([*WORKSHOP, ("rule", "end", 9, 9, "")])
+    asked = [("t", s) for s in (0, 3, 4, 7, 7, 9, 13, 14, 16)]
+    trace = workshop(spark)
+    if by_agent:
+        df = spark.createDataFrame([(t, s, u, u * 10) for t, s in asked for u in (0, 2, 5)], "trace_id string, step bigint, uid bigint, tag bigint")
+    else:
+        df = spark.createDataFrame(asked, "trace_id string, step bigint")
+    out = state_at(df, trace, side, "life", "int")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    dead = {(r.step, r.uid) for r in out.where("what = 'died'").collect()}
+    got = sorted((r.step, r.uid, r.site, r.state) for r in out.where("what = 'int'").collect() if (r.step, r.uid) not in dead)
+    want = []
+    for _, s in asked:
+        state = log[s + (side == "after")][3]
+        want += [(s, u, site, v[0]) for u, sites in state.items() if not by_agent or u in (0, 2, 5) for site, v in sites.items() if v[0]]
+    assert got == sorted(want)
+
+
+def test_registered_function(spark):
+    from loomtrace.errors import TypeMismatch
+    from loomtrace.functions.expressions import register_function
+    from loomtrace.plans.language import FUNCTIONS
+
+    register_function("hypot", ("float", "float"), "float", F.hypot)
+    try:
+        e = TraceEngine(workshop(spark))
+        rows = e.run("query 'q' match e:{ 'pick' r:Robot(arm[/_]) } return hypot{3}{4.0} + 1, hypot{null}{1}, hypot{event_id{e}}{3}").collect()
+        assert [tuple(r) for r in rows] == [(6.0, None, 5.0)]
+        with pytest.raises(TypeMismatch):
+            e.compile("query 'q' match e:{ } return hypot{'a'}{1}")
+    finally:
+        FUNCTIONS.pop("hypot")
+
+
+def test_nothing_stays_cached(spark):
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    e = TraceEngine(workshop(spark))
+    e.run("query 'q' match e:{ r:Robot(mode{idle/busy}) } return int_state[.e]{r.mode}").collect()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("span", [1, 3, 64])
+def test_throttle_equals_a_fold(spark, span):
+    """Buckets of any width give what one pass over all events does, with gaps and equal times."""
+    from loomtrace.operators.throttle import throttle
+
+    rng = random.Random(4)
+    rows, want = [], set()
+    for trace in ("a", "b", "c"):
+        t, last, taken = -7.0, None, set()
+        for k in range(200):
+            t += rng.choice([0, 0, 0.25, 0.5, 0.1, 3, 40 if k % 50 == 0 else 0.2])
+            rows.append((trace, k, t))
+            if last is None or t - last >= 1.5:
+                last = t
+                taken.add((trace, k))
+        want |= taken
+    rows += [("a", 900, float("nan")), ("b", 901, None)]
+    got = throttle(spark.createDataFrame(rows + rows[:5], "trace_id string, step bigint, time double"), 1.5, span)
+    assert {(r.trace_id, r.step) for r in got.collect()} == want
+
+
+def test_stream_of_pairs(spark, tmp_path):
+    """Step by step, in one batch each, pairs of events give what the batch engine gives."""
+    from loomtrace.streaming.single import stream_pair
+
+    steps = workshop(spark).steps
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, line in enumerate(steps.orderBy("step_id").toJSON().collect()):
+        (folder / f"{k:03d}.json").write_text(line + "\n")
+        os.utime(folder / f"{k:03d}.json", (1000 + k, 1000 + k))  # files are read in the order of their times
+    engine = TraceEngine(workshop(spark))
+    for text in (
+        "a:{ r:Robot(arm[/_]) } and first b:{ r:Robot(mode{/busy}) } after a return event_id{a}, event_id{b}, agent_id{r}, time[b] - time[a]",
+        "a:{ r:Robot(mode{/busy}) } and last b:{ r:Robot(arm[/_]) } before a when event_id{a} > 5 return rule[a], event_id{b}, debug_event[b]",
+        "a:{ 'scrap' } and last b:{ Robot(mode{/busy}) } before a return event_id{a}, event_id{b}",
+    ):
+        c = check(parse(f"query 'q' match {text}")[0])
+        stream = spark.readStream.schema(STEPS).option("maxFilesPerTrigger", 4).json(str(folder))
+        q = stream_pair(stream, c).writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        got = sorted(tuple(r) for r in spark.table("pairs").collect())
+        want = sorted(tuple(r) for r in engine.run(f"query 'q' match {text}").collect())
+        assert got == want and want, text
+    with pytest.raises(CompilationError):
+        stream_pair(steps, check(parse("query 'q' match a:{ } and last b:{ Robot(mode{idle/busy}) } before a return 1")[0]))
