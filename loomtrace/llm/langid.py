@@ -161,7 +161,7 @@ def language_id(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), "lang_pred", "score", "mixture")
 
 
-def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", most_noise: float = 0.5) -> DataFrame:
+def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", most_noise: float = 0.75) -> DataFrame:
     """The rows of ``docs`` in the learned languages, with all their columns.
 
     Beside the languages the mixture holds noise, in which all trigrams are as
