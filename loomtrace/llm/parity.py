@@ -113,6 +113,9 @@ class Scheme:
         self.band = np.searchsorted(self.lows, GRID, "right") - 1
         #: Classes so far apart hold no sets that can be linked.
         self.reach = ceil(log(den / num) / log(_STEP)) + 1
+        #: For each scheme, the D of the largest sets that it joins; for each class, its largest size.
+        self.widest = np.array([max(0, p - 1 - h) for p, h in map(self.parts, range(2 * len(self.edges) - 2))], np.int64)
+        self.top = np.append(GRID[1:] - 1, GRID[-1])
 
     def most(self, total: int) -> int:
         """The largest symmetric difference of linked sets whose sizes sum to ``total``."""
@@ -133,6 +136,11 @@ class Scheme:
             h = int(zero + 3 * sqrt(zero))
         return (d + 1 + h, h) if d else (0, 0)
 
+    def surplus(self, kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Agreements that links of sets of these ids need beyond slack and one: a scheme's words are enough for its largest sets, and smaller ones differ in fewer."""
+        total = self.top[a & 1023] + self.top[b & 1023]
+        return np.maximum(0, self.widest[kind] - (self.den - self.num) * total // (self.den + self.num))
+
     @cache
     def kinds(self, n: int) -> list[int]:
         """The schemes in which a set of n elements takes part."""
@@ -368,7 +376,9 @@ def _join_runs(scheme: Scheme):
                 for j in range(i + 1, g):
                     ok = at[scheme.may_meet(key[at], ids[at + i], ids[at + j])]
                     if len(ok):
-                        yield _met(1, ids[ok + i], ids[ok + j], 1 + np.maximum(slack[ok + i], slack[ok + j]).astype(np.int64), key[ok] & 255)
+                        kind = key[ok] & 255
+                        need = 1 + np.maximum(slack[ok + i], slack[ok + j]).astype(np.int64) + scheme.surplus(kind, ids[ok + i], ids[ok + j])
+                        yield _met(1, ids[ok + i], ids[ok + j], need, kind)
         if wide.any():
             member = np.repeat(wide, size)
             yield hot(key[member], ids[member], slack[member], known)
@@ -595,7 +605,8 @@ def linked_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id
     1. A distinct set is one node, with size, 128-bit print and a small parity sketch.
     2. Each set sends the words of its size band's sketches as keys. A key of few
        sets gives all pairs whose sizes allow a link; a hot key gives stars.
-    3. Linked sets agree in more keys than either's slack. So pairs with fewer
+    3. Linked sets agree in more keys than either's slack, and in more yet if they
+       are smaller than the largest sets of their scheme. So pairs with fewer
        agreements go; hot keys that both have count.
     4. Pairs whose sketches are too far apart cannot be linked and go. Of the
        rest, each node's best supported pair is verified on whole sets first; pairs

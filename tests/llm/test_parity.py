@@ -1,9 +1,12 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomtrace.llm.parity import Scheme, distance, near_duplicates, shingles, sketch
+from loomtrace.llm.parity import Scheme, distance, near_duplicates, shingles, size_class, sketch
 
 SCHEMA = "doc_id long, text string"
 
@@ -197,3 +200,46 @@ def test_hot_runs_over_batches():
             x = up[x]
         tops.add(x)
     assert len(tops) == 1
+
+
+def test_agreements_of_linked_sets_follow_their_sizes():
+    """Linked sets agree in as many keys as their own sizes ask for, and sets that are small in their scheme are asked for more than slack and one."""
+    rng, more = np.random.default_rng(4), 0
+    for num, den in ((85, 100), (80, 100)):
+        scheme = Scheme(num, den)
+        for n in [3, 9, *rng.integers(20, 700, 60).tolist()]:
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            new = int((den - num) * len(a) / (den + num))
+            b = np.unique(np.concatenate([a[new:], rng.integers(0, 1 << 63, new).astype(np.uint64)]))
+            same = len(np.intersect1d(a, b))
+            assert den * same >= num * (len(a) + len(b) - same)
+            own = {}
+            for x in (a, b):
+                keys, slacks = scheme.keyed(x)
+                for k, (kind, s) in zip(keys, slacks):
+                    own.setdefault(kind, []).append((set(k.tolist()), s))
+            ids = [np.array([size_class(len(x))], np.int64) for x in (a, b)]
+            kind = 2 * int(scheme.band[ids[0][0]]) if scheme.band[ids[0][0]] == scheme.band[ids[1][0]] else 2 * min(int(scheme.band[i[0]]) for i in ids) + 1
+            if kind not in own:
+                continue
+            (ka, sa), (kb, sb) = own[kind]
+            extra = int(scheme.surplus(np.array([kind]), *ids)[0])
+            more = max(more, extra)
+            assert len(ka & kb) >= 1 + max(sa, sb) + extra or np.array_equal(a, b)
+    assert more > 10
+
+
+def test_staged_tables_leave_no_shuffle_files(tmp_path):
+    """In a session of its own: its folder holds no shuffle file once a table is staged."""
+    code = """
+import os, sys
+from pyspark.sql import SparkSession, functions as F
+sys.path.insert(0, sys.argv[2])
+from loomtrace.llm.common import stage
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.local.dir", sys.argv[1]).config("spark.checkpoint.dir", sys.argv[1] + "/cp").getOrCreate()
+found = stage(spark.range(10000).groupBy((F.col("id") % 100).alias("k")).count(), "x")
+print("files", sum(f.startswith("shuffle_") for _, _, names in os.walk(sys.argv[1]) for f in names), found.count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path), root], capture_output=True, text=True, timeout=120).stdout
+    assert "files 0 100" in out
