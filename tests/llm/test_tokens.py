@@ -1,4 +1,5 @@
 import zlib
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from tokenizers import Tokenizer
 
 from loomtrace.llm.common import WordMemo, tokenizer_path
 from loomtrace.llm.dac import Block, encode_block, token_files
-from loomtrace.llm.packing import best_fit, pack
+from loomtrace.llm.packing import best_fit, pack, place
 from loomtrace.llm.token_counts import spliced_count, token_counts
 
 SCHEMA = "doc_id long, text string"
@@ -141,6 +142,31 @@ def test_bins_that_cannot_merge_do_not_travel(spark):
     assert sum(b.num_rows for b in out) == 1000 and final == 995
 
 
+def test_small_bins_find_every_bin_with_room(spark):
+    """Each of 30 tasks has a bin of 40 and a small one of 24: with one spare bin of a size, all the small ones still find a place."""
+    df = spark.createDataFrame([(i, " ".join(["the"] * (39 if i % 2 else 23))) for i in range(60)], SCHEMA)
+    lots = [df.where(f"doc_id = {i}").coalesce(1) for i in range(60)]
+    rows = pack(reduce(lambda a, b: a.union(b), lots), 64, spare=1).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 60 and sorted(map(sorted, by.values())) == [[(0, 40), (40, 24)]] * 30
+
+
+def test_place_is_one_best_fit():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        large, small = rng.integers(33, 65, int(rng.integers(0, 60))).tolist(), rng.integers(1, 33, int(rng.integers(0, 90))).tolist()
+        moves = place(list(enumerate(small)), {x: large.count(x) for x in large}, 64)
+        assert len(large) + len(small) - len(moves) == len(best_fit(np.array(large + small, np.int64), 64))
+        used = {}
+        for tag, size, nth, at in moves:
+            key = (size, nth)
+            assert at == used.get(key, size if size >= 0 else small[nth]) and at + small[tag] <= 64
+            assert size < 0 or 1 <= nth <= large.count(size)
+            used[key] = at + small[tag]
+
+
 def test_tokens_at(spark, docs, tok, tmp_path):
     """Single ids from the files are the library's."""
     from loomtrace.llm.dac import tokens_at, write_tokens
