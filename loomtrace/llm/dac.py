@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, new_path, texts, tokenizer_path
+from .common import WordMemo, new_path, portions, texts, tokenizer_path
 
 MAGIC = b"DAC1"
 #: Bits of a bitmap for each entry of its rank directory.
@@ -109,7 +109,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
                 ["shard", "block", "first_token", "n_tokens", "doc_ids", "lengths", "ids"],
             )
 
-        for b in batches:
+        for b in portions(batches):
             for i, t in zip(b.column(0).to_pylist(), memo.encode_many(b.column(1).to_pylist())):
                 ids = t + end
                 names.append(i)

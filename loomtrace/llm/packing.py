@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, new_path, texts, tokenizer_path
+from .common import WordMemo, new_path, portions, texts, tokenizer_path
 
 #: A piece in a bin: doc_id, whether the id is null, piece, start, length, crc32.
 _PIECE = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("piece", "<i8"), ("start", "<i8"), ("length", "<i8"), ("crc", "<i8")])
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id:
 
     def first(batches):
         memo, packer = WordMemo.at(path), _Packer(capacity, enough, most, spare, _tags(0))
-        for b in batches:
+        for b in portions(batches):
             for doc, ids in zip(b.column(0).to_pylist(), memo.encode_many(b.column(1).to_pylist())):
                 ids += end
                 sizes, members = [], []

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, texts, tokenizer_path
+from .common import WordMemo, portions, texts, tokenizer_path
 
 
 def spliced_count(tok, text: str, chunk: int = 32_768, overlap: int = 512) -> int:
@@ -80,7 +80,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, id
 
     def count(batches):
         memo = WordMemo.at(path)
-        for b in batches:
+        for b in portions(batches):
             texts_ = b.column(1).to_pylist()
             huge = [len(t) > chunk for t in texts_]
             short = memo.encode_many([t for t, h in zip(texts_, huge) if not h])

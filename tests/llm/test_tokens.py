@@ -191,3 +191,23 @@ def test_huge_text_with_special_tokens(tok):
 
     text = "<|startoftext|>" + "some words, and more  \n" * 300 + "<|endoftext|>x<|endoftext|><|endoftext|> end" + " y" * 2000
     assert whole_count(WordMemo.at(tokenizer_path()), text, 1000) == len(tok.encode(text, add_special_tokens=False).ids)
+
+
+def test_plain_words_spare_the_library_its_patterns(tok):
+    """Letters with signs behind them go to the model alone; before, they all went through normalizer and patterns."""
+
+    class Counted:
+        seen: list[str] = []
+
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, some, **more):
+            self.seen += some
+            return tok.encode_batch_fast(some, **more)
+
+    memo = WordMemo(tokenizer_path())
+    memo.tok = Counted()
+    many = ["Plain WORDS, été. ÀÖØ öøÿ*** don't ???", "thshon,*** straße; (odd) a' l'été' x1. ×÷", "a!b c-- \u00aa\u00ba. n\u0303. =\u0338"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in memo.encode_many(many)] == [ids(tok, t) for t in many]
+    assert memo.formed and not {"plain", "words", "été", "words,", "öøÿ***", "Plain WORDS"} & set(Counted.seen) and not any(" " in x for x in Counted.seen)
