@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions, remember
+
 _HASHES: dict[bytes, int] = {}
 
 
@@ -97,8 +99,9 @@ class Seeds:
 
 def _count(sent):
     def run(batches):
+        remember(_HASHES)
         seeds, c = sent.value, Counter()
-        for b in batches:
+        for b in portions(batches):
             for text in b.column(1).to_pylist():
                 c.update({g for g, _, _ in seeds.hits(word_hashes(text)[1])})
         if c:
@@ -150,8 +153,9 @@ class Search:
 
 def _find(sent):
     def run(batches):
+        remember(_HASHES)
         search = Search(*sent.value)
-        for b in batches:
+        for b in portions(batches):
             rows = [(doc, *hit) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in search(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
@@ -180,8 +184,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least:
 
     def keep(sent):
         def run(batches):
+            remember(_HASHES)
             search = Search(*sent.value)
-            for b in batches:
+            for b in portions(batches):
                 yield b.filter(pa.array([not search((t or "").encode()) for t in b.column(text_col).to_pylist()], pa.bool_()))
 
         return run

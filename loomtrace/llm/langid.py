@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions, remember
+
 BUCKETS = 1 << 14
 
 
@@ -50,8 +52,9 @@ def train(docs: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
     """
 
     def count(batches):
+        remember()
         held: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in portions(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at, n = grams(text)
                 if lang not in held:
@@ -131,7 +134,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        for b in batches:
+        remember()
+        for b in portions(batches):
             pred, score, mix = [], [], []
             for text in b.column(1).to_pylist():
                 at, n = grams(text) if text and langs else ((), ())
@@ -173,7 +177,8 @@ def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col:
     sent = docs.sparkSession.sparkContext.broadcast(noisy)
 
     def run(batches):
-        for b in batches:
+        remember()
+        for b in portions(batches):
             keep = []
             for text in b.column(text_col).to_pylist():
                 at, n = grams(text) if text and langs else ((), ())

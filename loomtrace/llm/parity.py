@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import remember, stage
 from .components import components
 
 #: A key that more distinct sets have is hot: it gives stars, not all pairs.
@@ -279,6 +279,7 @@ def _describe(n: int, scheme: Scheme):
     """
 
     def run(batches):
+        remember(_HASHES)
         for b in batches:
             at = 0
             while at < b.num_rows:
@@ -384,6 +385,7 @@ def _join_runs(scheme: Scheme):
             yield hot(key[member], ids[member], slack[member], known)
 
     def run(batches):
+        remember()
         k = i = np.zeros(0, np.int64)
         s = np.zeros(0, np.int32)
         known = None
@@ -438,6 +440,7 @@ def _sets(n: int, sent):
     """(id, print, set) of the documents whose bit is on."""
 
     def run(batches):
+        remember(_HASHES)
         bits = sent.value
         for b in batches:
             doc = np.asarray(b.column(0))
@@ -692,6 +695,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
 
 def _sizes(n: int):
     def run(batches):
+        remember(_HASHES)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(shingles(t, n)) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_shingles"])
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions, remember
+
 #: Kinds of the fixed patterns; the field knows secrets (keys, tokens) besides.
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
@@ -429,6 +431,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sent = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):
+        remember()
         crf = sent.value
         for b in batches:
             for at in range(0, b.num_rows, 1000):
@@ -450,8 +453,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches):
+        remember()
         crf = sent.value
-        for b in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
+        for b in portions(batches):
             texts = b.column(text_col).to_pylist()
             known = [t or "" for t in texts]
             base = [base_spans(t) for t in known]

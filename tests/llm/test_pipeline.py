@@ -61,3 +61,18 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{at}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{at}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_forget_the_words_of_other_operators():
+    """A worker serves one operator after another; before, it kept the words of all of them."""
+    import pyarrow as pa
+
+    from loomtrace.llm import common, parity
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([b"some words of a text", b"others"]), pa.array([5, 6])], ["doc_id", "text", "text_hash"])
+    assert list(parity._describe(5, parity.Scheme(80, 100))([batch])) and parity._HASHES
+    common.WordMemo.at(common.tokenizer_path())
+    assert common._MEMOS and not parity._HASHES
+    list(parity._join_runs(parity.Scheme(80, 100))([]))
+    assert not common._MEMOS
+    assert [b.num_rows for b in common.portions([batch, batch.slice(0, 0)], 1)] == [1, 1]
