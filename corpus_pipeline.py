@@ -48,8 +48,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048, one row a piece."""
-    return pack(docs)
+    """Token sequences of at most 2048, one row a piece; fewer words are remembered, for executors still hold what earlier stages took."""
+    return pack(docs, words=300_000)
 
 
 STAGES = [

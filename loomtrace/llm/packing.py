@@ -139,14 +139,14 @@ def _tags(level: int):
     return tag
 
 
-def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, full: float = 0.995, most: int = 100_000, spare: int = 64) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, full: float = 0.995, most: int = 100_000, spare: int = 64, words: int = 900_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     Each partition tokenises its documents once and packs them best-fit, at most
     ``most`` pieces at a time. Then each lot's small bin (half full or less) is
     placed by best fit among all bins of all tasks, whatever their number; see
     ``_moves``. ``full`` and ``spare`` only say which bins a task writes at once;
-    ``fan_in`` has no effect any more. Null texts are empty documents of the end id alone; repeated rows
+    ``fan_in`` has no effect any more. A worker remembers the ids of at most ``words`` words. Null texts are empty documents of the end id alone; repeated rows
     are packed each; null ids stay null; an empty table gives no rows.
     """
     spark, path = docs.sparkSession, path or tokenizer_path()
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id:
     root = new_path(spark, "bins")
 
     def first(batches):
-        memo, packer = WordMemo.at(path), _Packer(capacity, enough, most, spare, _tags(0))
+        memo, packer = WordMemo.at(path, words), _Packer(capacity, enough, most, spare, _tags(0))
         for b in portions(batches):
             for doc, ids in zip(b.column(0).to_pylist(), memo.encode_many(b.column(1).to_pylist())):
                 ids += end

@@ -7,6 +7,7 @@ import random
 import re
 from bisect import bisect_left
 from functools import cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -163,7 +164,8 @@ def labelled_table(seed: int = 5) -> list[tuple[list[str], list[str]]]:
 class Crf:
     """Weights: of own, previous and next word's features for each label, and of label pairs."""
 
-    def __init__(self):
+    def __init__(self, most: int = 100_000):
+        self.most = most
         self.w = np.zeros((3, _FEATURES, len(LABELS)))
         self.t = np.zeros((len(LABELS), len(LABELS)))
         self.rows: dict[str, int] = {}
@@ -264,10 +266,9 @@ class Crf:
         return [[LABELS[k] for k in path.tolist()] for path in self.paths(sequences)]
 
     def paths(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Label numbers of each sequence; sequences may be empty. The table of words starts anew once it holds 200,000."""
-        if len(self.rows) > 200_000:
-            self.rows.clear()
-            self.table = self.table[:1024]
+        """Label numbers of each sequence; sequences may be empty. Beyond ``most`` words the later half goes: the words that came first are the common ones."""
+        if len(self.rows) > self.most:
+            self.rows = dict(islice(self.rows.items(), self.most // 2))  # numbered in this order
         size = np.array([len(s) for s in sequences], np.int64)
         if not len(size) or not size.max():
             return [np.zeros(0, np.int64) for _ in sequences]
@@ -455,7 +456,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         remember()
         crf = sent.value
-        for b in portions(batches):
+        for b in portions(batches, 400):
             texts = b.column(text_col).to_pylist()
             known = [t or "" for t in texts]
             base = [base_spans(t) for t in known]

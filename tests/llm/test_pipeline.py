@@ -76,3 +76,17 @@ def test_workers_forget_the_words_of_other_operators():
     list(parity._join_runs(parity.Scheme(80, 100))([]))
     assert not common._MEMOS
     assert [b.num_rows for b in common.portions([batch, batch.slice(0, 0)], 1)] == [1, 1]
+
+
+def test_packing_of_the_pipeline_remembers_fewer_words(folder, monkeypatch):
+    """What earlier stages took stays with the executors, so the last one's memo is a third of what it is alone."""
+    from loomtrace.llm import common
+
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda docs, **given: asked.update(given))
+    corpus_pipeline.best_fit_packing(None, None, folder[0])
+    assert asked["words"] <= 300_000
+    path = common.tokenizer_path()
+    memo, text = common.WordMemo.at(path, 50), " ".join(f"word{k}" for k in range(400))
+    assert [memo.encode(t) for t in (text, "word1 word2", text)] == [memo.direct(t) for t in (text, "word1 word2", text)] and memo.most == 50
+    assert common.WordMemo.at(path).most == 900_000
