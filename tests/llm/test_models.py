@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -296,3 +298,35 @@ def test_long_texts_are_decoded_whole():
     rows = [w for w, _ in pii.labelled_table(78)[:100]]
     apart = [pii.model().decode([r])[0] for r in rows]
     assert pii.model().decode(rows) == apart
+
+
+def test_each_distinct_word_is_looked_up_once(monkeypatch):
+    """The features, classes and ranks of whole lots are those of single texts; words that a lot repeats cost one lookup."""
+    texts = [b"A b a b", b"", None, b" \x0bC\tb\r", b"\xff\xc3 a", "É a\x1cb a".encode(), b"x" * 9000 + b" a"] * 50
+    column = pa.array(texts, pa.binary())
+    asked = []
+    monkeypatch.setattr(maxent.xxhash, "xxh32_intdigest", lambda w, f=xxhash.xxh32_intdigest: asked.append(w) or f(w))
+    classes = maxent.Classes([b"a", b"b", b"long"], np.array([3.0, 2.0, 1.0]))
+    f, c, rank, sizes, words, number = maxent._histories(maxent.Reader(classes, {b"a": 0, maxent.END: 1}), column)
+    assert len(asked) == len(set(asked)) == len({w for t in texts for w in maxent.tokens(t or b"")} | ({b""} & set(words)))
+    own = [maxent.tokens(t or b"") for t in texts]
+    assert [words[k] for k in number.tolist()] == [w for x in own for w in x] and sizes.tolist() == list(map(len, own))
+    assert rank.tolist() == [{b"a": 0, maxent.END: 1}.get(w, -1) for x in own for w in x]
+    at = 0
+    for x in own:
+        h = np.array([xxhash.xxh32_intdigest(w) for w in x], np.uint32)
+        assert (f[at : at + len(x)] == maxent.features(h, classes.of(x))).all() and (c[at : at + len(x)] == classes.of(x)).all()
+        at += len(x)
+    few = maxent.Reader(classes, {}, most=2)
+    assert (few.read(words) == maxent.Reader(classes, {}).read(words)).all() and len(few.memo) == 2 and (few.read(words[::-1]) == few.read(words)[::-1]).all()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), column.fill_null(b"")], ["row", "text"])
+    assert [x for _, some in maxent._lots(batch, 10_000) for x in some.to_pylist()] == [t or b"" for t in texts]
+
+
+def test_field_remembers_a_bounded_number_of_words():
+    """Beyond the bound the common words stay, and the labels are those of a field that remembers all."""
+    rows = [w for w, _ in pii.labelled_table(79)]
+    few = pii.Crf(most=40)
+    few.w, few.t = pii.model().w, pii.model().t
+    assert [few.decode([r]) for r in rows] == [pii.model().decode([r]) for r in rows]
+    assert len(few.rows) <= 40 + max(map(len, rows)) and set(rows[0]) <= set(few.rows)
