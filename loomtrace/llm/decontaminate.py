@@ -10,23 +10,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, remember
+from .common import portions, remember, split_words
 
-_HASHES: dict[bytes, int] = {}
+_EDGES = b".,;:!?\"'()[]"
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words without punctuation at their edges."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w.strip(_EDGES) or w) for w in words), np.uint64, len(words))
 
 
 def word_hashes(text: bytes) -> tuple[list[bytes], np.ndarray]:
     """Words (ASCII lower case, split at ASCII white space, edge punctuation off) and their 64-bit hashes."""
-    words = [w.strip(b".,;:!?\"'()[]") or w for w in text.lower().split()]
-    try:
-        return words, np.array([_HASHES[w] for w in words], np.uint64)
-    except KeyError:
-        if len(_HASHES) > 500_000:
-            _HASHES.clear()
-        for w in words:
-            if w not in _HASHES:
-                _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-        return words, np.array([_HASHES[w] if w in _HASHES else xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    words = text.lower().split()
+    return [w.strip(_EDGES) or w for w in words], _hashed(words)
+
+
+def text_hashes(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and how many words each text has; each distinct word is hashed once."""
+    words, number, sizes = split_words(column)
+    return _hashed(words)[number], sizes
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -84,26 +88,37 @@ class Seeds:
             for pos, g in enumerate(gram_hashes(h, size).tolist()):
                 into.setdefault(g, []).append((k, pos))
         self.tables = [(size, np.array(sorted(t), np.uint64), t) for size, t in [(n, at), *self.short.items()] if t]
-
-    def hits(self, h: np.ndarray):
-        """(seed, word number) wherever a passage has a seed."""
-        for size, keys, table in self.tables:
+        #: Of each table, which leading 20 bits its seeds have: most n-grams of a text need no search among the seeds.
+        self.leading = []
+        for _, keys, _ in self.tables:
+            self.leading.append(np.zeros(1 << 20, bool))
+            self.leading[-1][keys >> np.uint64(44)] = True
+
+    def hits(self, h: np.ndarray, sizes: np.ndarray) -> dict[int, list]:
+        """(seed, word number, table) wherever texts have a seed, by text; ``h`` holds the words of all texts, ``sizes`` of them each."""
+        out: dict[int, list] = {}
+        first = np.cumsum(sizes) - sizes
+        for (size, keys, table), leading in zip(self.tables, self.leading):
             g = gram_hashes(h, size)
-            if not len(g):
-                continue
-            low = np.searchsorted(keys, g)
+            at = np.flatnonzero(leading[g >> np.uint64(44)])
+            low = np.searchsorted(keys, g[at])
             low[low == len(keys)] = 0
-            for pos in np.flatnonzero(keys[low] == g).tolist():
-                yield int(g[pos]), pos, table
+            at = at[keys[low] == g[at]]
+            own = np.searchsorted(first, at, "right") - 1
+            inside = at - first[own] + size <= sizes[own]  # no n-gram crosses texts
+            at, own = at[inside], own[inside]
+            for k, seed, pos in zip(own.tolist(), g[at].tolist(), (at - first[own]).tolist()):
+                out.setdefault(k, []).append((seed, pos, table))
+        return out
 
 
 def _count(sent):
     def run(batches):
-        remember(_HASHES)
+        remember()
         seeds, c = sent.value, Counter()
         for b in portions(batches):
-            for text in b.column(1).to_pylist():
-                c.update({g for g, _, _ in seeds.hits(word_hashes(text)[1])})
+            for found in seeds.hits(*text_hashes(b.column(1))).values():
+                c.update({g for g, _, _ in found})
         if c:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(c), np.uint64).view(np.int64)), pa.array(list(c.values()), pa.int64())], ["seed", "n"])
 
@@ -111,17 +126,23 @@ def _count(sent):
 
 
 class Search:
-    """Finds the items that a text holds; alignments of the same passage are remembered."""
+    """Finds the items that texts hold; alignments of the same passage are remembered."""
 
     def __init__(self, seeds: Seeds, rare: list[set[int]], least: float):
         self.seeds, self.rare, self.least = seeds, rare, least
         self.known: dict[tuple[int, bytes], tuple] = {}
 
-    def __call__(self, text: bytes) -> list[tuple[int, float, int, int]]:
-        """(item_id, score, first word, last word) of each item held."""
-        h = word_hashes(text)[1]
+    def __call__(self, column) -> dict[int, list[tuple[int, float, int, int]]]:
+        """(item_id, score, first word, last word) of each item held, by text, of those that hold any."""
+        h, sizes = text_hashes(column)
+        first = np.cumsum(sizes) - sizes
+        hits = self.seeds.hits(h, sizes)
+        found = {k: self._held(h[first[k] : first[k] + sizes[k]], hits[k]) for k in sorted(hits)}
+        return {k: x for k, x in found.items() if x}
+
+    def _held(self, h: np.ndarray, hits: list) -> list[tuple[int, float, int, int]]:
         spots: dict[int, dict[int, set[int]]] = {}
-        for g, pos, table in self.seeds.hits(h):
+        for g, pos, table in hits:
             for k, at in table[g]:
                 span = max(8, len(self.seeds.items[k][1]) // 2)
                 found = spots.setdefault(k, {}).setdefault(max(0, pos - at) // span, set())
@@ -153,10 +174,11 @@ class Search:
 
 def _find(sent):
     def run(batches):
-        remember(_HASHES)
+        remember()
         search = Search(*sent.value)
         for b in portions(batches):
-            rows = [(doc, *hit) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in search(text)]
+            ids = b.column(0)
+            rows = [(ids[k].as_py(), *hit) for k, held in search(b.column(1)).items() for hit in held]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
     return run
@@ -184,10 +206,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least:
 
     def keep(sent):
         def run(batches):
-            remember(_HASHES)
+            remember()
             search = Search(*sent.value)
             for b in portions(batches):
-                yield b.filter(pa.array([not search((t or "").encode()) for t in b.column(text_col).to_pylist()], pa.bool_()))
+                keep = np.ones(b.num_rows, bool)
+                keep[list(search(b.column(text_col)))] = False
+                yield b.filter(pa.array(keep))
 
         return run
 

@@ -128,3 +128,23 @@ def test_copy_of_the_commoner_half(spark):
     rows = [(k, " ".join(w[9:])) for k in range(5)] + [(9, "x " * 50 + " ".join(w[9:]) + " y" * 50)]
     got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
     assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 9} and all(abs(r.score - 0.55) < 1e-9 for r in got)
+
+
+def test_each_distinct_word_is_hashed_once(monkeypatch):
+    """Hashes of whole lots are those of single texts, null and sliced columns included; seeds are found where single texts have them."""
+    import pyarrow as pa
+    from loomtrace.llm import decontaminate as d
+
+    texts = ["The (cat) sat, on the mat!", None, "", " \t", "... the cat", "cat sat on", "É\u00a0ü the\x1cmat SAT"] * 40
+    digest, asked = d.xxhash.xxh3_64_intdigest, []
+    monkeypatch.setattr(d.xxhash, "xxh3_64_intdigest", lambda w: asked.append(w) or digest(w))
+    h, sizes = d.text_hashes(pa.array(texts, pa.string()))
+    assert len(asked) < 30
+    single = [d.word_hashes((t or "").encode())[1] for t in texts]
+    assert sizes.tolist() == list(map(len, single)) and h.tolist() == [x for s in single for x in s.tolist()]
+    for column in (pa.array(texts, pa.large_string()), pa.array([None if t is None else t.encode() for t in texts], pa.binary()), pa.array(texts, pa.large_string()).cast(pa.large_binary())):
+        part, n = d.text_hashes(column.slice(3, 5))
+        assert part.tolist() == [x for s in single[3:8] for x in s.tolist()] and n.tolist() == sizes.tolist()[3:8]
+    seeds = d.Seeds([(1, "the cat sat on"), (2, "mat")], 3)
+    want = {k: x[0] for k, s in enumerate(single) if (x := seeds.hits(s, np.array([len(s)])))}
+    assert seeds.hits(h, sizes) == want and {k % 7 for k in want} == {0, 5} | {k % 7 for k, t in enumerate(texts) if b"mat" in (t or "").lower().encode().replace(b"!", b"").split()}
