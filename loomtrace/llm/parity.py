@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remember, stage
+from .common import portions, remember, stage
 from .components import components
 
 #: A key that more distinct sets have is hot: it gives stars, not all pairs.
@@ -97,8 +97,8 @@ class Scheme:
     """Size bands, and for each band and each border between bands the number of parts.
 
     Sets A and B with Jaccard similarity of at least num/den differ in at most
-    (den - num) / (den + num) * (|A| + |B|) elements. A parity sketch flips at
-    most one bit for each of them, so of D + 1 + h words at least h + 1 are equal,
+    (den - num) / (den + num) * (|A| + |B|) elements. Each of them changes one word
+    of a parity sketch, so of D + 1 + h words at least h + 1 are equal,
     D being the most for the sizes that a scheme joins.
     """
 
@@ -166,10 +166,7 @@ class Scheme:
             p, h = self.parts(kind)
             own, slack = [], 0
             for seed in range(_SEEDS):
-                x = _mix(elements ^ np.uint64(0xA24BAED4963EE407 * (seed + 1) & (1 << 64) - 1))
-                at = (x >> np.uint64(6)) % np.uint64(p) * np.uint64(64) + (x & np.uint64(63))
-                bits = (np.bincount(at.astype(np.int64), minlength=p * 64) & 1).astype(np.uint8)
-                word = np.packbits(bits, bitorder="little").view("<u8")
+                word = _parities(_mix(elements ^ np.uint64(0xA24BAED4963EE407 * (seed + 1) & (1 << 64) - 1)), p)
                 zeros = word == 0
                 spare = h - int(zeros.sum())
                 again = spare < 0
@@ -199,6 +196,22 @@ class Scheme:
         return self.near_size(a, b) & ((self.band[a] != self.band[b]) == across)
 
 
+def _parities(x: np.ndarray, p: int) -> np.ndarray:
+    """Each of ``p`` words is the exclusive or of 64 bits of each element that is dealt to it.
+
+    An element changes one word, in about half of its bits. Were it one bit, words
+    with one or two elements would be alike by chance in a share of all sets, and
+    the pairs and hot keys that this makes would grow with the square of the input.
+    """
+    at = (x % np.uint64(p)).astype(np.uint16 if p <= 1 << 16 else np.int64)
+    order = np.argsort(at, kind="stable")
+    many = np.bincount(at, minlength=p)
+    out = np.zeros(p, np.uint64)
+    some = many > 0
+    out[some] = np.bitwise_xor.reduceat(_mix(x * _MULTIPLIER)[order], (np.cumsum(many) - many)[some])
+    return out
+
+
 @cache
 def _place(kind: int, seed: int, p: int) -> np.ndarray:
     at = (np.arange(p, dtype=np.uint64) * np.uint64(_SEEDS) + np.uint64(seed)) << np.uint64(16) ^ np.uint64(kind)
@@ -443,9 +456,7 @@ def _sets(n: int, sent):
         remember(_HASHES)
         bits = sent.value
         for b in batches:
-            doc = np.asarray(b.column(0))
-            at = (_mix(doc.view(np.uint64)) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-            chosen = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
+            chosen = np.flatnonzero(_lit(bits, b.column(0)))
             for lot in range(0, len(chosen), 500):
                 found = [shingles(t, n) for t in b.column(1).take(pa.array(chosen[lot : lot + 500])).to_pylist()]
                 prints = [_print(u) for u in found]
@@ -469,7 +480,31 @@ def _linked(num: int, den: int):
     return run
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
+def _lit(bits: np.ndarray, ids) -> np.ndarray:
+    """Whether the bits of ids (no nulls) are on."""
+    at = (_mix(np.asarray(ids).astype(np.int64).view(np.uint64)) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def parted(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``rows`` with an id in two parts: those that surely have none of ``ids``, and the others, which are those with one and a few more.
+
+    Nothing is shuffled; a bit set of ids is broadcast.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(ids))
+
+    def part(on: bool):
+        def run(batches):
+            remember()
+            for b in portions(batches):
+                yield b.filter(pa.array(_lit(sent.value, b.column(id_col)) == on))
+
+        return rows.where(F.col(f"`{id_col}`").isNotNull()).mapInArrow(run, rows.schema)
+
+    return part(False), part(True)
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
     """A bit set of ids, made by aggregation: some 16 bits an id, between 128 KB and 16 MB; other ids may share a bit."""
     log2 = min(27, max(20, (16 * ids.count()).bit_length()))
 
@@ -493,7 +528,7 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, n: int) ->
     join with the asked nodes, so it is whole however full the bit set is.
     """
     asked = stage(asked.distinct().join(nodes.select("node", "hi", "lo", "doc"), "node"), "asked")
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(asked.select("doc")))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select("doc")))
     sets = docs.mapInArrow(_sets(n, sent), "hi long, lo long, elements binary").join(asked.select("hi", "lo", "node"), ["hi", "lo"])
     return stage(sets.dropDuplicates(["node"]).select("node", "elements"), "sets")
 
@@ -529,7 +564,8 @@ def _halved(batches):
 
 
 _CELL = ["key", "low", "i", "j", "cross", "side", "node"]
-_CELL_TYPES = "key long, low long, i int, j int, cross boolean, side int, node long"
+_CELL_TYPES = "key long, low long, i int, j int, cross boolean, side int, node long, other long"
+_PAIRS = 16  # candidates to a member of a cell: up to so many go on as pairs
 
 
 def _candidates(scheme: Scheme, key: int, cross: bool, side, comp, sizes, ids, sketches):
@@ -555,15 +591,21 @@ def _candidates(scheme: Scheme, key: int, cross: bool, side, comp, sizes, ids, s
 
 
 def _busy(scheme: Scheme):
-    """The members of a cell that have a candidate in it."""
+    """The candidates of a cell as pairs (node, other), which also meet in other cells and are then compared once; if they are very many, the members that have one, ``other`` being null."""
 
     def run(t):
         t = t.take(pa.array(np.argsort(np.asarray(t["side"]), kind="stable")))
-        side, comp, sizes, ids = (np.asarray(t[c]) for c in ("side", "comp", "n", "hi"))
-        busy = np.zeros(len(side), bool)
+        side, comp, sizes, ids, node = (np.asarray(t[c]) for c in ("side", "comp", "n", "hi", "node"))
+        busy, few, held = np.zeros(len(side), bool), [], 0
         for i, j, _ in _candidates(scheme, t["key"][0].as_py(), t["cross"][0].as_py(), side, comp, sizes, ids, t["sketch"].to_pylist()):
             busy[i] = busy[j] = True
-        return t.select(_CELL).filter(pa.array(busy))
+            held += len(i)
+            few = [*few, (node[i], node[j])] if held <= _PAIRS * len(side) else []
+        if held > _PAIRS * len(side):
+            return t.select(_CELL).filter(pa.array(busy)).append_column("other", pa.nulls(int(busy.sum()), pa.int64()))
+        a, b = (np.concatenate(x) for x in zip(*few)) if few else (np.zeros(0, np.int64),) * 2
+        head = t.select(_CELL).take(pa.array(np.zeros(len(a), np.int64)))
+        return head.set_column(6, "node", pa.array(np.minimum(a, b), pa.int64())).append_column("other", pa.array(np.maximum(a, b), pa.int64()))
 
     return run
 
@@ -617,8 +659,9 @@ def linked_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id
     5. A set with no more hot keys than its slack meets its partners under other
        keys. Of the others, those in different components meet under their first
        hot keys in one order: all but as many as their slack. There sketches are compared in
-       cells of bounded size, and whole sets of those that have candidates, each
-       sent once to a cell; only links that join components come out.
+       cells of bounded size. The candidates go on as pairs, each once however many
+       keys they meet under, as in step 4; those of cells with very many go there as
+       whole sets, each sent once to a cell. Only links that join components come out.
 
     ``node`` tells components apart where ids are repeated with other texts:
     null for sets without elements, else the same for all rows of a component.
@@ -655,19 +698,20 @@ def linked_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id
     near = both.mapInArrow(_near(scheme), "a long, b long, support long").groupBy("a", "b").agg(F.sum("support").alias("support"))
     near = stage(near, "near")
 
-    best = stage(near.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    links = _verify(known, nodes, best, n, num, den)
-    labels = stage(components(links), "labels")
-    apart = stage(_apart(near, labels).join(best, ["a", "b"], "left_anti").distinct(), "apart")
-    if apart.limit(1).count():
-        links = stage(links.union(_verify(known, nodes, apart, n, num, den)), "links")
-        labels = stage(components(links), "labels")
+    links, labels = _connected(known, nodes, near, None, n, scheme)
 
     named = nodes.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").select("hi", "node", "n", "sketch", F.coalesce("label", "node").alias("comp"))
     named = stage(named.mapInArrow(_halved, named.schema), "named")
     cells = _loose_cells(lists, named, scheme, block)
     if cells is not None:
-        found = _verified_inside(known, nodes, cells, named, n, scheme)
+        cells = stage(cells, "cells")
+        few = cells.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+        sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+        few = few.join(sides[0], "a").join(sides[1], "b").withColumn("support", F.lit(0).cast("long"))
+        few = stage(few.select("a", "b", "support", "na", "nb", "sa", "sb").mapInArrow(_near(scheme), "a long, b long, support long"), "few")
+        if few.limit(1).count():
+            links, labels = _connected(known, nodes, few, links, n, scheme)
+        found = _verified_inside(known, nodes, cells.where("other is null").drop("other"), named, n, scheme)
         if found is not None:
             links = stage(links.union(found), "links")
             labels = stage(components(links), "labels")
@@ -708,6 +752,22 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
+def _connected(docs: DataFrame, nodes: DataFrame, near: DataFrame, links: DataFrame | None, n: int, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """``links`` with those of the staged pairs (a, b, support) that are links, as many as components need, and the components' labels.
+
+    Each node's best supported pair is verified first; then those of the others whose ends are still apart.
+    """
+    best = stage(near.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    found = _verify(docs, nodes, best, n, scheme.num, scheme.den)
+    links = found if links is None else stage(links.union(found), "links")
+    labels = stage(components(links), "labels")
+    apart = stage(_apart(near, labels).join(best, ["a", "b"], "left_anti").distinct(), "apart")
+    if apart.limit(1).count():
+        links = stage(links.union(_verify(docs, nodes, apart, n, scheme.num, scheme.den)), "links")
+        labels = stage(components(links), "labels")
+    return links, labels
+
+
 def _loose_cells(lists: DataFrame, named: DataFrame, scheme: Scheme, block: int) -> DataFrame | None:
     """Members of hot keys that hold several components, dealt to cells of bounded size; None if there are none.
 
@@ -739,8 +799,7 @@ def _loose_cells(lists: DataFrame, named: DataFrame, scheme: Scheme, block: int)
 
 
 def _verified_inside(docs: DataFrame, nodes: DataFrame, cells: DataFrame, named: DataFrame, n: int, scheme: Scheme) -> DataFrame | None:
-    """Links (a, b) inside the cells; None if there are none."""
-    cells = stage(cells, "cells")
+    """Links (a, b) inside the staged cells; None if there are none."""
     if not cells.limit(1).count():
         return None
     sets = _whole_sets(docs, nodes, cells.select("node"), n)

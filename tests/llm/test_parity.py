@@ -243,3 +243,42 @@ print("files", sum(f.startswith("shuffle_") for _, _, names in os.walk(sys.argv[
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     out = subprocess.run([sys.executable, "-c", code, str(tmp_path), root], capture_output=True, text=True, timeout=120).stdout
     assert "files 0 100" in out
+
+
+def test_unlike_sets_share_no_key():
+    """Words of one or two elements were alike by chance, so pairs and hot keys grew with the square of the input."""
+    rng = np.random.default_rng(1)
+    for scheme in (Scheme(85, 100), Scheme(80, 100)):
+        keys = [scheme.keys(np.unique(rng.integers(0, 1 << 63, 150).astype(np.uint64))) for _ in range(400)]
+        assert len(np.unique(np.concatenate(keys))) == sum(len(k) for k in keys)
+
+
+def test_candidates_of_cells_go_as_pairs(spark, monkeypatch):
+    """Sets that meet under many hot keys are compared once; before, their whole sets went to each of the cells. Cells with very many candidates still take whole sets."""
+    from loomtrace.llm import parity
+
+    rows = [(k, t) for k, (_, t) in enumerate(chained(7, 3, 40))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 4, 85, 100)
+    names, plain = [], parity.stage
+
+    def named(df, name):
+        out = plain(df, name)
+        names.append((name, out.count() if name in ("cells", "found", "few") else 0))
+        return out
+
+    monkeypatch.setattr(parity, "stage", named)
+    assert {tuple(r) for r in near_duplicates(df).collect()} == want
+    assert "cells" in dict(names) and dict(names)["few"] and "found" not in dict(names)
+    names.clear()
+    monkeypatch.setattr(parity, "_PAIRS", 0)
+    assert {tuple(r) for r in near_duplicates(df).collect()} == want
+    assert "found" in dict(names) and not dict(names)["few"]
+
+
+def test_rows_that_surely_stay_are_not_looked_up(spark):
+    from loomtrace.llm.parity import parted
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).unionByName(spark.createDataFrame([(None, "n")], SCHEMA))
+    sure, others = (sorted(r.doc_id for r in x.collect()) for x in parted(rows, spark.range(0, 5000, 50)))
+    assert sorted(sure + others) == list(range(5000)) and set(range(0, 5000, 50)) <= set(others) and len(others) < 200

@@ -90,3 +90,21 @@ def test_packing_of_the_pipeline_remembers_fewer_words(folder, monkeypatch):
     memo, text = common.WordMemo.at(path, 50), " ".join(f"word{k}" for k in range(400))
     assert [memo.encode(t) for t in (text, "word1 word2", text)] == [memo.direct(t) for t in (text, "word1 word2", text)] and memo.most == 50
     assert common.WordMemo.at(path).most == 900_000
+
+
+def test_tables_between_steps_go(spark, folder, tmp_path):
+    """What the Jaccard join staged on its way, and the table of the stage before, were left until the end; texts of rows that stay were shuffled."""
+    import os
+
+    from loomtrace.llm import common
+
+    at, _ = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    place = f"{common.shared_dir(spark).removeprefix('file:').replace('//', '/')}/loomtrace"
+    held = lambda: {x.split("-", 1)[1] for x in os.listdir(place)}
+    common.clear_staged(spark)
+    joined = corpus_pipeline.jaccard_join(spark, docs, at)
+    assert held() == {"kept"} and joined.count()
+    common.clear_staged(spark)
+    corpus_pipeline.run(spark, at)
+    assert "pii" in held() and not held() & {"met", "nodes", "language_id", "jaccard_join", "decontamination"}
